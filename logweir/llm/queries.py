@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from logweir.llm import mixing
+from logweir.llm import bpe, langid, licenses, mixing
 
 
 def queries() -> dict:
     return {
+        "op2_byte_bpe": bpe.op2_bpe,
         "op5_pareto_mix": mixing.op5_mixing,
+        "op7_langid": langid.op7_langid,
+        "op10_license_join": licenses.op10_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_pareto_mix": mixing.OP5_SQL,
+        "op10_license_join": licenses.OP10_SQL,
     }
