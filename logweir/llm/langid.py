@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: Symbols of the alphabet: 0 for what is no letter, a to z, and 37 classes for all other letters.
 SYMBOLS = 64
@@ -129,7 +130,7 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     docs = docs.drop("lang_pred", "score")
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return docs.mapInArrow(score, schema)
 
 
