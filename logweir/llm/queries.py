@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweir.llm import bpe, langid, licenses, mixing
+from logweir.llm import bpe, dac, langid, licenses, mixing, mpeg
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op2_byte_bpe": bpe.op2_bpe,
         "op5_pareto_mix": mixing.op5_mixing,
         "op7_langid": langid.op7_langid,
+        "op8_dac": dac.op8_dac,
+        "op9_mpeg_audio": mpeg.op9_mpeg,
         "op10_license_join": licenses.op10_licenses,
     }
 
