@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from logweir.llm import bpe, dac, langid, licenses, mixing, mpeg
+from logweir.llm import bpe, dac, langid, licenses, mixing, mpeg, simhash
 
 
 def queries() -> dict:
     return {
         "op2_byte_bpe": bpe.op2_bpe,
+        "op4_simhash_anchors": simhash.op4_simhash,
         "op5_pareto_mix": mixing.op5_mixing,
         "op7_langid": langid.op7_langid,
         "op8_dac": dac.op8_dac,
