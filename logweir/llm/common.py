@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -120,3 +121,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def safe_name(text: str) -> str:
     return re.sub(r"\W+", "_", text)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as a Parquet table in the shared folder, and read again."""
+    path = f"{shared_dir(df.sparkSession)}/{safe_name(name)}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
