@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from logweir.llm import bpe, dac, langid, licenses, mixing, mpeg, simhash, suffix
+from logweir.llm import bpe, dac, langid, licenses, mixing, mpeg, neighbors, simhash, suffix
 
 
 def queries() -> dict:
     return {
         "op1_suffix_dedup": suffix.op1_suffix,
         "op2_byte_bpe": bpe.op2_bpe,
+        "op3_pruned_graph": neighbors.op3_graph,
         "op4_simhash_anchors": simhash.op4_simhash,
         "op5_pareto_mix": mixing.op5_mixing,
         "op7_langid": langid.op7_langid,
