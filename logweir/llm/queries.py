@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweir.llm import bpe, dac, langid, licenses, mixing, mpeg, neighbors, simhash, suffix
+from logweir.llm import bpe, dac, langid, licenses, mixing, mpeg, neighbors, simhash, suffix, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_pruned_graph": neighbors.op3_graph,
         "op4_simhash_anchors": simhash.op4_simhash,
         "op5_pareto_mix": mixing.op5_mixing,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_langid": langid.op7_langid,
         "op8_dac": dac.op8_dac,
         "op9_mpeg_audio": mpeg.op9_mpeg,
