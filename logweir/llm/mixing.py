@@ -41,6 +41,11 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     )
 
 
+def draw_key(key: str, text: str) -> "F.Column":
+    """What a document's random number is made from."""
+    return F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 def pareto_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix:") -> DataFrame:
     """Each row of docs with size, source_size, target and copies (0, 1 or 2).
 
@@ -53,10 +58,10 @@ def pareto_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
 
     Null or empty text: size 0, taken for no words. Null source: a source of its own, last. Repeated rows
     draw the same number and follow one another; each counts. A null key draws by its text. An empty table
-    gives no rows. Columns of docs are kept out: the result has key, source and the computed columns.
+    gives no rows. Columns of docs are kept out: the result has the draw's key, doc_id, source and the computed columns.
     """
-    own = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), uniform(own, seed).alias("u"))
+    own = draw_key(key, text)
+    rows = docs.select(own.alias("draw"), F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), uniform(own, seed).alias("u"))
     rows = cut(rows.withColumn("slice", F.floor(F.col("u") * SLICES).cast("int")))
     slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("size"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,7 +78,15 @@ def pareto_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     ahead = Window.partitionBy("source", "slice").orderBy("rank", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     middle = F.col("before") + F.coalesce(F.sum("size").over(ahead), F.lit(0)) + F.col("size") / 2
     sampled = F.when((F.col("size") > 0) & (F.col("rest") > 0) & (middle < F.col("rest")), 1).otherwise(0)
-    return joined.withColumn("rank", F.when(F.col("rest") > 0, rank)).withColumn("copies", (F.col("whole") + sampled).cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies")
+    return joined.withColumn("rank", F.when(F.col("rest") > 0, rank)).withColumn("copies", (F.col("whole") + sampled).cast("long")).select("draw", "doc_id", "source", "size", "source_size", "target", "copies")
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: the rows of docs, each as often as pareto_mix takes it. Repeated rows are taken for all of their copies together."""
+    taken = pareto_mix(docs, key, text, source).groupBy("draw").agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0")
+    first = Window.partitionBy("draw").orderBy(F.lit(0))
+    rows = docs.withColumn("draw", draw_key(key, text)).join(taken, "draw").withColumn("nth", F.row_number().over(first)).filter("nth = 1")
+    return rows.withColumn("nth", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

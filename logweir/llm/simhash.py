@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweir.llm.common import components, cut, local_forest, text_bytes
@@ -180,5 +180,14 @@ def simhash_groups(docs: DataFrame, shingle: int = 5, threshold: int = 2, text:
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def first_of_each_group(docs: DataFrame, shingle: int = 5, threshold: int = 2) -> DataFrame:
+    """The rows of docs but for those of a group that are not its smallest doc_id. Of repeated rows one stays; rows without a key stay."""
+    groups = simhash_groups(docs, shingle, threshold)
+    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    return named.withColumn("nth_row", nth).filter("nth_row = 1").drop("nth_row").unionByName(docs.filter("doc_id is null"))
+
+
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, threshold=2)
