@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweir.schema import SECONDS_PER_DAY, UNKNOWN
 
+#: Parts of the input that are numbered each on their own; the table of their counts has at most as many rows.
+SLICES = 1024
+
 
 def part(column: str, n: int) -> "F.Column":
     """The n-th part (from 1) of user@domain; null if there is no @. A third part is ignored."""
@@ -77,19 +80,15 @@ def clean_auth(raw: DataFrame, line: str = "event_id", dense: bool = False, offs
 
 def dense_ids(rows: DataFrame, line: str, offset: int = 0) -> DataFrame:
     """Replaces `line` by consecutive numbers in its order, from offset."""
-    from pyspark.sql import Window
-
-    slices = 1024
-    bounds = rows.agg(F.min(line).alias("lo"), F.max(line).alias("hi"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / slices))
-    part_of = F.floor((F.col(line) - F.col("lo")) / F.col("width")).cast("int")
-    rows = rows.join(F.broadcast(bounds.select("lo", width.alias("width"))), F.lit(True)).withColumn("slice", part_of)
+    lo, hi = rows.agg(F.min(line), F.max(line)).first()
+    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // SLICES))
+    rows = rows.withColumn("slice", F.floor((F.col(line) - F.lit(lo or 0)) / width).cast("int"))
     counts = rows.groupBy("slice").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(F.col("slice").alias("of"), before.alias("before"))
     inner = F.row_number().over(Window.partitionBy("slice").orderBy(line)) - 1
     numbered = rows.join(F.broadcast(counts), F.col("slice") == F.col("of"))
-    return numbered.withColumn(line, F.lit(offset) + F.col("before") + inner).drop("slice", "lo", "width", "of", "before")
+    return numbered.withColumn(line, F.lit(offset) + F.col("before") + inner).drop("slice", "of", "before")
 
 
 def clean_redteam(raw: DataFrame) -> DataFrame:
