@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 
 from logweir.llm.bpe import blocks
 from logweir.llm.common import shared_dir
-from logweir.llm.pretoken import pieces
+from logweir.llm.pretoken import distinct_pieces
 
 MAGIC = b"DAC1"
 RANK = 512
 #: A shard is closed after the document that brings it to so many tokens.
 SHARD_TOKENS = 1_000_000
 #: Pieces kept from block to block in one worker.
-KEPT = 500_000
+KEPT = 1_000_000
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray, start: int = 0) -> bytes:
@@ -110,37 +110,36 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.first = [np.zeros(0, np.uint32)], [0]
+        self.index: dict[int, int] = {}
+        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and their numbers."""
-        split = [pieces(t) for t in texts]
+        found, places, number, per_text = distinct_pieces(texts)
         if len(self.index) > KEPT:
             self.clear()
-        if not self.index:
-            self.index["\0end"] = 0
-            self.flat, self.first = [np.array([end], np.uint32)], [0, 1]
-        new = set()
-        for words in split:
-            new.update(words)
-        new = [w for w in new if w not in self.index]
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.index[w] = len(self.first) - 1
-                self.flat.append(np.array(e.ids, np.uint32))
-                self.first.append(self.first[-1] + len(self.flat[-1]))
-        self.flat = [np.concatenate(self.flat)]
-        first = np.array(self.first)
-        get = self.index.__getitem__
-        words = np.concatenate([np.array([*map(get, w), 0], np.int64) for w in split])
-        sizes = first[words + 1] - first[words]
+        get = self.index.get
+        known = [get(h, -1) for h in found.tolist()]
+        new = [i for i, k in enumerate(known) if k < 0]
+        if new:
+            text = "".join(texts)
+            ids, names = [], found.tolist()
+            for lo in range(0, len(new), 5000):
+                part = [text[slice(*places[i])] for i in new[lo : lo + 5000]]
+                ids += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            base = len(self.first) - 1
+            for k, i in enumerate(new):
+                known[i] = self.index[names[i]] = base + k
+            self.flat = np.concatenate([self.flat, *ids])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in ids])])
+        words = np.array(known, np.int64)[number]
+        sizes = (self.first[1:] - self.first[:-1])[words]
         ends = np.cumsum(sizes)
-        ids = self.flat[0][np.repeat(first[words] - (ends - sizes), sizes) + np.arange(ends[-1])]
-        per_text = np.array([len(w) + 1 for w in split])
-        stops = ends[np.cumsum(per_text) - 1]
-        return ids, np.diff(np.concatenate([[0], stops]))
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.repeat(self.first[words] - (ends - sizes), sizes) + np.arange(total)]
+        stops = np.concatenate([[0], ends])[np.cumsum(per_text)]
+        lengths = np.diff(np.concatenate([[0], stops])) + 1
+        return np.insert(ids, stops, np.uint32(end)), lengths
 
 
 _ENCODERS: dict[str, WordIds] = {}

@@ -26,24 +26,75 @@ def classes() -> np.ndarray:
     return table
 
 
-def pieces(text: str) -> list[str]:
-    """The pieces of text in order; joined they are text again."""
-    if not text:
-        return []
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+def cuts(points: np.ndarray, text: str, firsts: np.ndarray) -> np.ndarray:
+    """Where pieces start in texts laid end to end: code points, the same as one string, and where each (non-empty) text starts."""
     kind = classes()[points]
     starts = np.empty(len(points), bool)
-    starts[0] = True
     np.not_equal(kind[1:], kind[:-1], out=starts[1:])
     blank = kind == SPACE
-    after = np.flatnonzero(blank[:-1] & ~blank[1:])
+    after = blank[:-1] & ~blank[1:]
+    after[firsts[1:] - 1] = False
+    after = np.flatnonzero(after)
     starts[after] = True
     starts[after[points[after] == 0x20] + 1] = False
+    starts[firsts] = True
     if "'" in text:
         for at in np.flatnonzero(points == 0x27).tolist():
             if starts[at] and (m := CONTRACTION.match(text, at)):
-                starts[at + 1 : m.end()] = False
-                if m.end() < len(text) and not (blank[m.end()] and starts[m.end()]):
-                    starts[m.end()] = True
-    cuts = np.flatnonzero(starts).tolist()
-    return [text[i:j] for i, j in zip(cuts, [*cuts[1:], len(text)])]
+                end = m.end()
+                nth = np.searchsorted(firsts, at, "right")
+                stop = firsts[nth] if nth < len(firsts) else len(text)
+                if end <= stop:
+                    starts[at + 1 : end] = False
+                    if end < stop:
+                        starts[end] = True
+    return np.flatnonzero(starts)
+
+
+def pieces(text: str) -> list[str]:
+    """The pieces of text in order; joined they are text again."""
+    if not text:
+        return []
+    at = cuts(np.frombuffer(text.encode("utf-32-le"), np.uint32), text, np.zeros(1, np.int64)).tolist()
+    return [text[i:j] for i, j in zip(at, [*at[1:], len(text)])]
+
+
+@cache
+def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.ones(size, np.uint64), np.ones(size, np.uint64)
+    np.cumprod(np.full(size - 1, base, np.uint64), out=up[1:])
+    np.cumprod(np.full(size - 1, pow(base, -1, 1 << 64), np.uint64), out=down[1:])
+    return up, down
+
+
+def hashes(points: np.ndarray, at: np.ndarray, base: int) -> np.ndarray:
+    """A 64-bit hash of each piece: the value of a polynomial over its code points."""
+    size = 1 << 21
+    while size <= len(points):
+        size *= 2
+    up, down = _powers(base, size)
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=sums[1:])
+    h = (np.append(sums[at[1:]], sums[-1]) - sums[at]) * down[at]
+    return h ^ (h >> np.uint64(32))
+
+
+def distinct_pieces(texts: list[str]) -> tuple[np.ndarray, list, np.ndarray, np.ndarray]:
+    """(hash of each distinct piece, its place as (start, stop) in the joined texts, each piece's distinct number, pieces of each text).
+
+    Two hashes of 64 bits are compared, so that equal means equal but for a chance of about 2**-90 a block.
+    """
+    text = "".join(texts)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    if not text:
+        return np.zeros(0, np.uint64), [], np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    ends = np.cumsum(lengths)
+    at = cuts(points, text, (ends - lengths)[lengths > 0])
+    one, two = hashes(points, at, 0x9E3779B97F4A7C15), hashes(points, at, 0xD1342543DE82EF95)
+    found, first, number = np.unique(one, return_index=True, return_inverse=True)
+    if not np.array_equal(two[first][number], two):
+        raise ValueError("two pieces with one hash")
+    stops = np.append(at[1:], len(text))
+    per_text = np.searchsorted(at, ends) - np.searchsorted(at, ends - lengths)
+    return found, list(zip(at[first].tolist(), stops[first].tolist())), number, per_text
