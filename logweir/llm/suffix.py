@@ -5,7 +5,7 @@ bytes names one of its GRAM-byte strings as its anchor, the one of least hash (t
 equal windows have their anchors at the same place. Consecutive windows with one anchor are a segment. Three
 steps find all windows that occur twice:
 
-1. Segments, dealt in ranges of (anchor, content), are compared with their neighbours in that order. Equal
+1. Segments, dealt in ranges of (anchor, content, place), are compared with their neighbours in that order. Equal
    contents repeat as a whole. A segment whose anchor is nowhere else has no repeated window.
 2. The others, one for each content, are ordered by the suffix that starts at the anchor and by the reversed
    prefix that ends there: multikey quicksort to a shallow depth, then a blind trie for each group that is
@@ -107,8 +107,9 @@ def list_segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks rows in order of (anchor, content): repeated contents, and one row or two of each content whose anchor has another content too.
 
-    Only neighbours count, so one row is carried from batch to batch. Contents do not span partitions, but
-    anchors may: the first and the last row of a partition are taken to have a neighbour with their anchor.
+    Only neighbours count, so one row is carried from batch to batch. Rows of one content or one anchor may
+    span partitions: the first and the last row of a partition are taken to have a neighbour with their anchor
+    and another content, so they go on to the sorting step, which settles them.
     """
     carried = None
     previous: tuple[int, int] | None = None
@@ -387,16 +388,15 @@ def suffix_dedup(docs: DataFrame, text: str = "text", columns: tuple[str, ...] =
     key = F.xxhash64(*[F.col(c) for c in columns], F.col(text))
     rows = docs.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(columns)], key.alias("doc"), F.col(text).alias("text"))
     listed = rows.select("doc", "text").mapInArrow(list_segments, "doc long, at long, anchor long, content long")
-    listed = listed.repartitionByRange("anchor", "content").sortWithinPartitions("anchor", "content")
+    listed = listed.repartitionByRange("anchor", "content", "doc", "at").sortWithinPartitions("anchor", "content", "doc", "at")
     settled = written(listed.mapInArrow(settle, "doc long, mark long, anchor long"), "segments")
     unsettled = settled.filter(F.col("anchor").isNotNull()).select("anchor")
     hot = written(unsettled.groupBy("anchor").count().filter(F.col("count") > HOT).select(F.col("anchor").alias("hot")), "hot")
     marks = settled.groupBy("doc").agg(F.collect_list("mark").alias("marks"))
     with_marks = rows.join(marks.hint("shuffle_hash"), "doc", "left")
-    pieces = with_marks.mapInArrow(cut_pieces, "anchor long, doc long, at long, place int, piece binary")
+    pieces = written(with_marks.mapInArrow(cut_pieces, "anchor long, doc long, at long, place int, piece binary"), "pieces")
     cool = pieces
     if not hot.isEmpty():
-        pieces = written(pieces, "pieces")
         cool = pieces.join(hot, pieces["anchor"] == hot["hot"], "left_anti")
     spans = cool.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort_pieces, "doc long, start long, stop long")
     if not hot.isEmpty():
