@@ -87,14 +87,16 @@ def rarity(k: "F.Column", n: "F.Column") -> "F.Column":
     return -F.ln((k + 1) / (n + F.lit(1.0)))
 
 
-def novelty_features(df: DataFrame, relations=RELATIONS) -> DataFrame:
+def novelty_features(df: DataFrame, relations=RELATIONS, base: DataFrame | None = None) -> DataFrame:
     """newness and rarity of each relation, days since the pair was last seen, new pairs of the last day.
 
-    Only the counts by (entity, day) are joined; with no conditioning entity they are one row a day.
+    Only the counts by (entity, day) are joined; with no conditioning entity they are one row a day. They are
+    made from `base`, the same events before other columns were added, so that those are not computed again.
     """
+    base = df if base is None else base
     for name, (keys, condition) in relations.items():
         df = causal.first_occurrence(df, keys, f"_{name}")
-        before = causal.events_before_day(df, condition)
+        before = causal.events_before_day(base, condition)
         side = before.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(condition)], F.col("day").alias("_day"), F.col("before").alias("_n"))
         on = F.col("day") == F.col("_day")
         for i, c in enumerate(condition):
@@ -150,7 +152,7 @@ def temporal_features(df: DataFrame, night: tuple[int, int] = (0, 21_600)) -> Da
 
 def featurize(df: DataFrame, train: DataFrame, night: tuple[int, int] = (0, 21_600)) -> DataFrame:
     """F1 to F4 of every event."""
-    return temporal_features(novelty_features(history_features(event_features(df, train))), night)
+    return temporal_features(novelty_features(history_features(event_features(df, train)), base=df), night)
 
 
 #: Columns that models read, and further inputs of the rules.
