@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweir.functions import features as ft
 from logweir.functions import scorers as sc
+from logweir.functions import tuning, walks
 from logweir.operators import causal, clean, label, split
 from logweir.operators import evaluate as ev
+from logweir.operators import resample as rs
 from logweir.sources import adapter
+from logweir.streaming import daily
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -950,3 +954,90 @@ def _top_sql() -> str:
 @query("top_contributions", _top_sql())
 def _(s, d):
     return ev.top_contributions(matrix(s, d), _X)
+
+
+# Inference on gathered tables ---------------------------------------------------------------------------------
+
+
+def _positives_by_level(s: SparkSession, d: str):
+    """Levels of the star log and its positives: eleven scores and a few hundred rows."""
+    x = adapter.star(s, d)
+    levels = ev.score_levels(x).orderBy(F.col("score").desc()).toPandas()
+    at = {v: i for i, v in enumerate(levels["score"])}
+    pos = x.filter("is_malicious").select("score", "campaign").toPandas()
+    return levels["neg"].to_numpy(), pos["score"].map(at).to_numpy(), pos["campaign"].to_numpy()
+
+
+@query("bootstrap_bca")
+def _(s, d):
+    neg, level, campaign = _positives_by_level(s, d)
+    samples = rs.paired_bootstrap({"m": level}, {"m": neg}, campaign, 500, 1)["m"]
+    estimate = rs.average_precision(np.bincount(level, minlength=len(neg)), neg)
+    low, high = rs.bca_interval(samples, estimate, rs.jackknife(level, neg, campaign))
+    return s.createDataFrame([(round(estimate, 9), round(low, 9), round(high, 9))], "estimate double, low double, high double")
+
+
+@query("cluster_bootstrap")
+def _(s, d):
+    x = adapter.star(s, d)
+    table = x.groupBy(F.pmod("src_user", F.lit(50)).alias("cluster")).pivot("score", [float(i) for i in range(10, -1, -1)]).agg(F.count_if("is_malicious").alias("p"), F.count_if(~F.col("is_malicious")).alias("n")).fillna(0).toPandas()
+    pos = table[[c for c in table.columns if c.endswith("_p")]].to_numpy()
+    neg = table[[c for c in table.columns if c.endswith("_n")]].to_numpy()
+    samples = rs.cluster_bootstrap(table["cluster"].to_numpy(), pos, neg, 500, 1)
+    return s.createDataFrame([(float(np.mean(samples)), float(np.quantile(samples, 0.025)), float(np.quantile(samples, 0.975)))], "mean double, low double, high double")
+
+
+@query("random_ranking_null")
+def _(s, d):
+    days = [(r["events"], r["positives"]) for r in ev.day_sizes(adapter.auth(s, d)).collect()]  # one row a day
+    ranks = rs.random_ranking(days, 300, 1)
+    return s.createDataFrame([(float(np.median(ranks)), rs.first_detection_quantile(days, 0.5))], "median double, closed_form long")
+
+
+@query("best_tie_matching")
+def _(s, d):
+    rows = ev.positives_ledger(adapter.star(s, d).withColumn("campaign", F.col("campaign").cast("string"))).select("day", "campaign", "rank_best", "rank_worst").collect()  # positives only
+    return s.createDataFrame([(k, rs.best_tie_campaign_recall([tuple(r) for r in rows], k)) for k in (1, 2, 5)], "budget int, recall double")
+
+
+@query("tuning")
+def _(s, d):
+    m = matrix(s, d)
+    return tuning.tune(lambda c: sc.Hbos(_X, **c), [{"bins": b, "tolerance": t} for b in (5, 10, 20) for t in (0.1, 0.5)], m, m)
+
+
+@query("fit_variance")
+def _(s, d):
+    m = matrix(s, d)
+    return tuning.fit_variance(lambda seed: sc.IsolationForest(_X, trees=25, seed=seed), (0, 1, 2), m, m)
+
+
+@query("m5a_walk_embedding")
+def _(s, d):
+    e = ft.trailing_edges(adapter.auth(s, d)).filter("day = 10")
+    return walks.embed(e, dims=8, length=8, per_node=2, seed=1)
+
+
+@query("m5c_snapshot_links")
+def _(s, d):
+    return walks.link_scores(adapter.auth(s, d), dims=8)
+
+
+@query(
+    "featurize_by_day",
+    f"""{AUTH.replace("auth AS (", "every AS (", 1)}, auth AS (SELECT * FROM every WHERE day <= 3), {_novelty_cte("pair")}
+SELECT event_id, day, CAST(k = 0 AS INT) AS pair_is_new, round(-ln((k + 1) / (nb + 1)), 9) AS pair_rarity, since AS seconds_since_pair FROM pair_n JOIN auth USING (event_id)""",
+)
+def _(s, d):
+    return daily.fold_days(adapter.auth(s, d).filter("day <= 3"))
+
+
+def _wide(f, columns):
+    return lambda s, d: (x := f(s, d)).withColumns({c: x[c].cast("bigint") for c in columns})
+
+
+for _name, _columns in {
+    "alerts_at_k": ["rank"], "positives_ledger": ["rank", "rank_best", "rank_worst", "rank_against"], "detection_budgets": ["budget", "best", "worst"], "first_detection": ["budget"], "budget_quantiles": ["budget"],
+    "unit_user_day": ["rank"], "unit_edge_hour": ["rank"], "user_day_activity": ["rank"], "first_occurrence": ["pair_index"],
+}.items():
+    QUERIES[_name] = _wide(QUERIES[_name], _columns)
