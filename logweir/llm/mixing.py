@@ -84,9 +84,10 @@ def pareto_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: the rows of docs, each as often as pareto_mix takes it. Repeated rows are taken for all of their copies together."""
     taken = pareto_mix(docs, key, text, source).groupBy("draw").agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0")
-    first = Window.partitionBy("draw").orderBy(F.lit(0))
-    rows = docs.withColumn("draw", draw_key(key, text)).join(taken, "draw").withColumn("nth", F.row_number().over(first)).filter("nth = 1")
-    return rows.withColumn("nth", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    taken = taken.select(F.col("draw").alias("_mix_of"), F.col("copies").alias("_mix_copies"))
+    rows = docs.withColumn("_mix_draw", draw_key(key, text)).join(taken, F.col("_mix_draw") == F.col("_mix_of"))
+    rows = rows.withColumn("_mix_nth", F.row_number().over(Window.partitionBy("_mix_draw").orderBy(F.lit(0)))).filter("_mix_nth = 1")
+    return rows.withColumn("_mix_nth", F.explode(F.sequence(F.lit(1), "_mix_copies"))).select(*docs.columns)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -183,10 +183,10 @@ def simhash_groups(docs: DataFrame, shingle: int = 5, threshold: int = 2, text:
 def first_of_each_group(docs: DataFrame, shingle: int = 5, threshold: int = 2) -> DataFrame:
     """The rows of docs but for those of a group that are not its smallest doc_id. Of repeated rows one stays; rows without a key stay."""
     groups = simhash_groups(docs, shingle, threshold)
-    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return named.withColumn("nth_row", nth).filter("nth_row = 1").drop("nth_row").unionByName(docs.filter("doc_id is null"))
+    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    return named.withColumn("_nth_row", nth).filter("_nth_row = 1").drop("_nth_row").unionByName(docs.filter("doc_id is null"))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
