@@ -59,15 +59,16 @@ def history_features(df: DataFrame, entities=("src_user", "dst_computer"), hours
     Columns are added in place: windows of one entity share their partitioning and order, so there is one
     shuffle and one sort an entity, and no join.
     """
+    for entity, h in distinct_for:  # first, while rows are narrow
+        if entity in entities and h in hours:
+            partner = "src_user" if entity == "dst_computer" else "dst_computer"
+            df = causal.distinct_count(df, entity, partner, h * 3600, f"{entity}_{window_name(h)}_n_distinct")
     for entity in entities:
-        partner = "src_user" if entity == "dst_computer" else "dst_computer"
         for h in hours:
             frame, base = causal.before_window(entity, h * 3600), f"{entity}_{window_name(h)}"
             df = df.withColumns(
                 {f"{base}_n_events": F.count(F.lit(1)).over(frame), f"{base}_n_failures": F.coalesce(F.sum((~F.col("success")).cast("bigint")).over(frame), F.lit(0))}
             ).withColumn(f"{base}_failure_ratio", F.col(f"{base}_n_failures") / F.greatest(F.col(f"{base}_n_events"), F.lit(1)))
-            if (entity, h) in distinct_for:
-                df = causal.distinct_count(df, entity, partner, h * 3600, f"{base}_n_distinct")
     return df
 
 
@@ -152,7 +153,7 @@ def temporal_features(df: DataFrame, night: tuple[int, int] = (0, 21_600)) -> Da
 
 def featurize(df: DataFrame, train: DataFrame, night: tuple[int, int] = (0, 21_600)) -> DataFrame:
     """F1 to F4 of every event."""
-    return temporal_features(novelty_features(history_features(event_features(df, train)), base=df), night)
+    return temporal_features(novelty_features(event_features(history_features(df), train), base=df), night)
 
 
 #: Columns that models read, and further inputs of the rules.

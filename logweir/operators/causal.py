@@ -31,20 +31,28 @@ def rolling_sum(df: DataFrame, entity: str, seconds: int, value: "F.Column", nam
     return df.withColumn(name, F.coalesce(F.sum(value).over(before_window(entity, seconds)), F.lit(0)))
 
 
+def _change(time, kind: int, amount: "F.Column") -> "F.Column":
+    time = F.col(time) if isinstance(time, str) else time
+    return F.struct(time.cast("bigint").alias("t"), F.lit(kind).alias("kind"), amount.alias("d"))
+
+
+def _swept(rows: DataFrame, entity: str, changes: "F.Column", name: str) -> DataFrame:
+    """rows with the running sum, in order of time and kind, of all changes up to the row's own query (kind 0).
+
+    Each row is dealt out to its query and its changes where it stands, so what made the rows runs once.
+    """
+    w = Window.partitionBy(entity).orderBy("_x.t", "_x.kind").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_x", F.explode(changes)).withColumn(name, F.sum("_x.d").over(w)).filter("_x.kind = 0").drop("_x")
+
+
 def sweep_sum(df: DataFrame, entity: str, seconds: int, value: "F.Column", name: str) -> DataFrame:
     """As rolling_sum, for entities with very many events in a window.
 
     Each event adds its value just after t and takes it away at t + seconds, just after the queries of that
     second; a running sum over (time, queries first) answers each query in linear time.
     """
-    rows = df.withColumn("_v", value.cast("bigint"))
-    asks = rows.select("*", F.col("time").alias("_t"), F.lit(0).alias("_kind"), F.lit(0).cast("bigint").alias("_d"))
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in df.dtypes if c != entity]
-    opens = rows.select(F.col(entity), *nothing, "_v", F.col("time").alias("_t"), F.lit(1).alias("_kind"), F.col("_v").alias("_d"))
-    ends = rows.select(F.col(entity), *nothing, "_v", (F.col("time") + seconds).alias("_t"), F.lit(1).alias("_kind"), (-F.col("_v")).alias("_d"))
-    w = Window.partitionBy(entity).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = asks.unionByName(opens).unionByName(ends).withColumn(name, F.sum("_d").over(w))
-    return swept.filter("_kind = 0").drop("_t", "_kind", "_d", "_v")
+    changes = F.array(_change("time", 0, F.lit(0).cast("bigint")), _change("time", 1, F.col("_v")), _change(F.col("time") + seconds, 1, -F.col("_v")))
+    return _swept(df.withColumn("_v", value.cast("bigint")), entity, changes, name).drop("_v")
 
 
 def distinct_count(df: DataFrame, entity: str, partner: str, seconds: int, name: str) -> DataFrame:
@@ -56,13 +64,9 @@ def distinct_count(df: DataFrame, entity: str, partner: str, seconds: int, name:
     """
     rows = df.withColumn("_p", F.lag("time").over(in_order([entity, partner])))
     start = F.greatest(F.col("time"), F.coalesce(F.col("_p") + seconds, F.col("time")))
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in df.dtypes if c != entity]
-    asks = df.select("*", F.col("time").alias("_t"), F.lit(0).alias("_kind"), F.lit(0).alias("_d"))
-    opens = rows.select(F.col(entity), *nothing, start.alias("_t"), F.lit(1).alias("_kind"), F.lit(1).alias("_d"))
-    ends = rows.select(F.col(entity), *nothing, (F.col("time") + seconds).alias("_t"), F.lit(1).alias("_kind"), F.lit(-1).alias("_d"))
-    w = Window.partitionBy(entity).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = asks.unionByName(opens).unionByName(ends).withColumn(name, F.sum("_d").over(w))
-    return swept.filter("_kind = 0").drop("_t", "_kind", "_d")
+    one = F.lit(1).cast("bigint")
+    changes = F.array(_change("time", 0, one - 1), _change(start, 1, one), _change(F.col("time") + seconds, 1, -one))
+    return _swept(rows, entity, changes, name).drop("_p")
 
 
 def prior_events(df: DataFrame, entity: str, seconds: int) -> DataFrame:
