@@ -150,11 +150,11 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
+def blocks(texts: list[str], most: int = BLOCK) -> Iterator[tuple[int, int]]:
     start = held = 0
     for i, t in enumerate(texts):
         held += len(t)
-        if held >= BLOCK:
+        if held >= most:
             yield start, i + 1
             start, held = i + 1, 0
     if start < len(texts):

@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,9 @@ RANK = 512
 #: A shard is closed after the document that brings it to so many tokens.
 SHARD_TOKENS = 1_000_000
 #: Pieces kept from block to block in one worker.
-KEPT = 1_000_000
+KEPT = 2_000_000
+#: Characters of text in a block.
+BLOCK = 1_000_000
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray, start: int = 0) -> bytes:
@@ -110,33 +113,37 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
-        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes in order, and their places in first
+        self.flat, self.first = np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and their numbers."""
         found, places, number, per_text = distinct_pieces(texts)
-        if len(self.index) > KEPT:
+        if len(self.known) > KEPT:
             self.clear()
-        get = self.index.get
-        known = [get(h, -1) for h in found.tolist()]
-        new = [i for i, k in enumerate(known) if k < 0]
-        if new:
-            text = "".join(texts)
-            ids, names = [], found.tolist()
+        at = np.searchsorted(self.known, found)
+        old = self.known[np.minimum(at, len(self.known) - 1)] == found if len(self.known) else np.zeros(len(found), bool)
+        new = np.flatnonzero(~old)
+        if len(new):
+            text, ids = "".join(texts), []
             for lo in range(0, len(new), 5000):
-                part = [text[slice(*places[i])] for i in new[lo : lo + 5000]]
-                ids += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                part = [text[slice(*places[i])] for i in new[lo : lo + 5000].tolist()]
+                ids += [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             base = len(self.first) - 1
-            for k, i in enumerate(new):
-                known[i] = self.index[names[i]] = base + k
-            self.flat = np.concatenate([self.flat, *ids])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in ids])])
-        words = np.array(known, np.int64)[number]
-        sizes = (self.first[1:] - self.first[:-1])[words]
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32)
+            if self.flat.dtype == np.uint16 and flat.max(initial=0) > 0xFFFF:
+                self.flat = self.flat.astype(np.uint32)
+            self.flat = np.concatenate([self.flat, flat.astype(self.flat.dtype)])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+            self.known = np.insert(self.known, at[new], found[new])
+            self.slot = np.insert(self.slot, at[new], np.arange(base, base + len(new), dtype=np.int32))
+            at = np.searchsorted(self.known, found)
+        words = self.slot[at][number]
+        sizes = np.diff(self.first).astype(np.int32)[words]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.first[words] - (ends - sizes), sizes) + np.arange(total)]
+        shift = (self.first[words] - (ends - sizes)).astype(np.int64)
+        ids = self.flat[np.repeat(shift, sizes) + np.arange(total)].astype(np.uint32)
         stops = np.concatenate([[0], ends])[np.cumsum(per_text)]
         lengths = np.diff(np.concatenate([[0], stops])) + 1
         return np.insert(ids, stops, np.uint32(end)), lengths
@@ -167,7 +174,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end: int = 0, text: str =
         for batch in batches:
             kind = batch.column(0).type
             texts, own = [t or "" for t in batch.column(1).to_pylist()], batch.column(0).to_pylist()
-            for lo, hi in blocks(texts):
+            for lo, hi in blocks(texts, BLOCK):
                 got, n = encoder.encode(texts[lo:hi], end)
                 ids.append(got)
                 lengths.append(n)
