@@ -11,6 +11,7 @@ ceil(n / 8) bytes of bitmap (bit i of byte j is chunk 8 j + i), and uint32 x cei
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -33,7 +34,16 @@ SHARD_TOKENS = 1_000_000
 #: Pieces kept from block to block in one worker.
 KEPT = 2_000_000
 #: Characters of text in a block.
-BLOCK = 1_000_000
+BLOCK = 500_000
+#: Rows of an Arrow batch turned into Python objects at a time.
+ROWS = 500
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray, start: int = 0) -> bytes:
@@ -173,19 +183,23 @@ def write_shards(docs: DataFrame, path: str, out: str, end: int = 0, text: str =
         kind = None
         for batch in batches:
             kind = batch.column(0).type
-            texts, own = [t or "" for t in batch.column(1).to_pylist()], batch.column(0).to_pylist()
-            for lo, hi in blocks(texts, BLOCK):
-                got, n = encoder.encode(texts[lo:hi], end)
-                ids.append(got)
-                lengths.append(n)
-                keys += own[lo:hi]
-                held += len(got)
-                if held >= SHARD_TOKENS:
-                    yield closed()
-                    start, shard = start + held, shard + 1
-                    keys, ids, lengths, held = [], [], [], 0
+            for some in range(0, batch.num_rows, ROWS):
+                part_of = batch.slice(some, ROWS)
+                texts, own = [t or "" for t in part_of.column(1).to_pylist()], part_of.column(0).to_pylist()
+                for lo, hi in blocks(texts, BLOCK):
+                    got, n = encoder.encode(texts[lo:hi], end)
+                    ids.append(got)
+                    lengths.append(n)
+                    keys += own[lo:hi]
+                    held += len(got)
+                    if held >= SHARD_TOKENS:
+                        yield closed()
+                        start, shard = start + held, shard + 1
+                        keys, ids, lengths, held = [], [], [], 0
+                        give_back()
         if keys:
             yield closed()
+        give_back()
 
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first())
@@ -215,6 +229,7 @@ def read_documents(spark, out: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [keys.values, pa.array(starts + before + shard.start), pa.array(shard.lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
+            give_back()
 
     kind = shards.schema["keys"].dataType.elementType.simpleString()
     rows = shards.join(F.broadcast(sums), "part").select("before", "keys", "blob")

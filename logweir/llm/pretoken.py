@@ -69,7 +69,7 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def hashes(points: np.ndarray, at: np.ndarray, base: int) -> np.ndarray:
     """A 64-bit hash of each piece: the value of a polynomial over its code points."""
-    size = 1 << 20
+    size = 1 << 19
     while size <= len(points):
         size *= 2
     up, down = _powers(base, size)
