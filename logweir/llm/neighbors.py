@@ -1,4 +1,4 @@
-"""Embedding near-duplicates by a robust-pruned flat graph."""
+"""Embedding near-duplicates by comparing all vectors that angular bounds do not keep apart."""
 
 from __future__ import annotations
 
@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from logweir.llm.common import components, cut, local_forest
 
-#: Vectors in a shard on average, shards a vector belongs to, and vectors in one graph at most on average.
-SHARD, OVERLAP, BLOCK = 1000, 3, 6000
-#: The bounded sample, by hash of the id, on which the shards' centres are fitted.
+#: Vectors in a cell on average, and members or asking vectors compared in one task at most on average.
+SHARD, BLOCK = 1000, 6000
+#: The bounded sample, by hash of the id, on which the cells' centres are fitted.
 SAMPLE, MOST_CENTRES = 20_000, 2048
-#: Neighbours a node keeps in one shard, those of them that may be far, candidates looked at, and the pruning factor.
-DEGREE, FAR, CANDIDATES, ALPHA = 20, 4, 60, 1.2
-#: Width of the greedy search; entry points a graph.
-WIDTH, MEDOIDS = 32, 8
+#: Rings of a cell, by the angle to its centre: RINGS - 1 up to that of a link, and all beyond. What rounding may do to an angle.
+RINGS, SLACK = 5, 1e-6
+#: Bounds, or cosines, looked at in one step.
+STEP = 2_000_000
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -40,119 +40,28 @@ def centres(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return found
 
 
-def build(vectors: np.ndarray) -> list[np.ndarray]:
-    """Neighbours of each row: the nearest ones in robust pruning's order, a few far ones, and the reverse of all edges.
+def angles(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1, 1))
 
-    A candidate is pruned if a neighbour chosen before is nearer to it, by the factor ALPHA, than the row is.
-    """
-    n = len(vectors)
-    near = min(CANDIDATES, n - 1)
-    if near < 1:
-        return [np.zeros(0, np.int64)] * n
-    random = np.random.default_rng(n)
-    lists: list[set[int]] = [set() for _ in range(n)]
-    v = vectors.astype(np.float32)
-    for lo in range(0, n, 512):
-        sims = v[lo : lo + 512] @ v.T
-        sims[np.arange(len(sims)), lo + np.arange(len(sims))] = -2
-        top = np.argpartition(-sims, near - 1, axis=1)[:, :near]
-        far = random.integers(0, n, (len(sims), 3 * FAR))
-        for i in range(len(sims)):
-            p = lo + i
-            for pool, most in ((top[i], DEGREE - FAR), (far[i], FAR)):
-                pool = pool[np.argsort(-sims[i, pool], kind="stable")]
-                pool = pool[pool != p]
-                away = 1 - sims[i, pool]
-                between = (1 - v[pool] @ v[pool].T) * ALPHA**2
-                alive, chosen = np.ones(len(pool), bool), 0
-                for c in range(len(pool)):
-                    if alive[c]:
-                        lists[p].add(int(pool[c]))
-                        chosen += 1
-                        if chosen == most:
-                            break
-                        alive &= between[c] > away
-    for p in range(n):
-        for q in list(lists[p]):
-            if len(lists[q]) < 3 * DEGREE:
-                lists[q].add(p)
-    return [np.array(sorted(x), np.int64) for x in lists]
-
-
-def medoids(vectors: np.ndarray) -> np.ndarray:
-    """Entry points: the rows nearest to the centres of a rough split of the graph."""
-    k = min(MEDOIDS, len(vectors))
-    c = centres(vectors, k, 3)
-    return np.unique(np.argmax(vectors @ c.T, axis=0))
-
-
-def range_search(vectors: np.ndarray, table: np.ndarray, queries: np.ndarray, own: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) for the rows found at cosine >= threshold from each query.
-
-    table holds each row's neighbours, padded with the number of rows. A greedy search of WIDTH from the
-    medoids (and from the query's own row, where it has one: own >= 0) is widened: every row within range has
-    its neighbours looked at, until no new row is within range.
+
+def reach(v: np.ndarray, c: np.ndarray, rings: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, sure, open) for some rows of v at a time: the rings all of whose members are linked to a row, and those that may have linked ones.
+
+    rings has (cell, least angle, greatest angle) of the members to their centre. Angles obey the triangle
+    inequality, which settles both. Members are nearer to their own centre than to the row's, so a row whose
+    distance from the plane between the two centres is over that of a link has none there either.
     """
-    n, q = len(vectors), len(queries)
-    padded = np.vstack([vectors, np.zeros((1, vectors.shape[1]))])
-    seen = np.zeros((q, n + 1), bool)
-    seen[:, n] = True
-    entry = medoids(vectors)
-    pool = np.concatenate([np.tile(entry, (q, 1)), np.where(own >= 0, own, n)[:, None]], axis=1)
-    pool = np.concatenate([pool, np.full((q, max(0, WIDTH - pool.shape[1])), n)], axis=1)
-    sims = np.where(pool < n, np.einsum("qpd,qd->qp", padded[pool], queries), -3.0)
-    seen[np.arange(q)[:, None], pool] = True
-    done = pool == n
-    hits_q, hits_v = [], []
-
-    def take(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        good = s >= threshold
-        hits_q.append(a[good])
-        hits_v.append(b[good])
-        return a[good], b[good]
-
-    r, c = np.nonzero(pool < n)
-    take(r, pool[r, c], sims[r, c])
-    for _ in range(4 * WIDTH):
-        open_sims = np.where(done, -4.0, sims)
-        best = np.argmax(open_sims, axis=1)
-        live = np.flatnonzero(open_sims[np.arange(q), best] > -3.5)
-        if not len(live):
-            break
-        node = pool[live, best[live]]
-        done[live, best[live]] = True
-        near = table[node]
-        near = np.where(seen[live[:, None], near], n, near)
-        seen[live[:, None], near] = True
-        s = np.where(near < n, np.einsum("qpd,qd->qp", padded[near], queries[live]), -3.0)
-        r, c = np.nonzero(near < n)
-        take(live[r], near[r, c], s[r, c])
-        both, both_sims = np.concatenate([pool[live], near], axis=1), np.concatenate([sims[live], s], axis=1)
-        both_done = np.concatenate([done[live], near == n], axis=1)
-        keep = np.argpartition(-both_sims, WIDTH - 1, axis=1)[:, :WIDTH]
-        w = min(WIDTH, pool.shape[1])
-        keep = keep[:, :w]
-        at = np.arange(len(live))[:, None]
-        if pool.shape[1] > w:
-            pool, sims, done = pool[:, :w].copy(), sims[:, :w].copy(), done[:, :w].copy()
-        pool[live], sims[live], done[live] = both[at, keep], both_sims[at, keep], both_done[at, keep]
-    frontier_q, frontier_v = np.concatenate(hits_q), np.concatenate(hits_v)
-    while len(frontier_q):
-        new_q, new_v = [], []
-        for lo in range(0, len(frontier_q), 20_000):
-            a = np.repeat(frontier_q[lo : lo + 20_000], table.shape[1])
-            b = table[frontier_v[lo : lo + 20_000]].ravel()
-            fresh = ~seen[a, b]
-            code = np.unique(a[fresh] * (n + 1) + b[fresh])
-            a, b = code // (n + 1), code % (n + 1)
-            seen[a, b] = True
-            got = take(a, b, np.einsum("pd,pd->p", vectors[b], queries[a]))
-            new_q.append(got[0])
-            new_v.append(got[1])
-        frontier_q, frontier_v = np.concatenate(new_q), np.concatenate(new_v)
-    a, b = np.concatenate(hits_q), np.concatenate(hits_v)
-    code = np.unique(a * (n + 1) + b)
-    return code // (n + 1), code % (n + 1)
+    cell, least, most = rings[:, 0].astype(np.int64), rings[:, 1], rings[:, 2]
+    widest, chord = math.acos(min(1.0, threshold)), math.sqrt(2 - 2 * min(1.0, threshold))
+    apart = np.sqrt(np.maximum(0, (c**2).sum(axis=1)[:, None] + (c**2).sum(axis=1) - 2 * c @ c.T))
+    step = max(1, STEP // max(1, len(rings)))
+    for lo in range(0, len(v), step):
+        cosines = v[lo : lo + step] @ c.T
+        own = np.argmax(cosines, axis=1)
+        over = cosines[np.arange(len(own)), own][:, None] - cosines > chord * apart[own] + SLACK
+        away = angles(cosines)[:, cell]
+        sure = away + most <= widest - SLACK
+        yield lo, sure, ~sure & ~over[:, cell] & (away <= most + widest + SLACK) & (away >= least - widest - SLACK)
 
 
 def _usable(vector: str) -> "F.Column":
@@ -161,14 +70,14 @@ def _usable(vector: str) -> "F.Column":
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row: vectors linked at cosine >= threshold.
+    """(vec_id, n_links, component_id, kept) of every row: vectors linked at cosine >= threshold. No link is missed.
 
-    Equal vectors are one node with a count, so copies cost one row. Nodes belong to the OVERLAP shards whose
-    centres are nearest; each shard builds a robust-pruned graph, the lists of a node from all its shards are
-    united, and each node searches the graph of its nearest shard. A shard with more than BLOCK nodes is dealt
-    to several graphs, and its queries search each of them. Every link is a cosine computed in double
-    precision; only counts and a forest of links leave a shard. Links may be missed where a pair shares no
-    shard or a search does not reach; audit() measures this against all rows.
+    Equal vectors are one node with a count, so copies cost one row. Nodes belong to the cell of the nearest
+    centre, and there to a ring by their angle to it. Each node is compared, in double precision, with all
+    members of every ring that bounds do not rule out (reach); rings that lie wholly within the threshold
+    are counted without being compared, which keeps tight groups of any size cheap. Rings and their askers
+    are dealt to tasks in blocks; only counts and a forest of links leave a task. Where vectors fill all
+    directions evenly, bounds rule out less and the work grows with the square of their number.
 
     Null vectors, and those of null, non-finite or only zero components, have no links and stay alone.
     Repeated rows link with each other; component_id is the smallest key, so ties cannot arise. Vectors must be
@@ -181,72 +90,85 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, key: str = "vec_id
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").toPandas()["v"]
     k = max(1, min(MOST_CENTRES, math.ceil(total / SHARD), len(sample)))
     c = centres(unit(np.stack(sample.to_list())), k) if total else np.zeros((1, 1))
-    overlap = min(OVERLAP, k)
+    widest = math.acos(min(1.0, threshold)) or 1.0
+    kind, vectors = dict(nodes.dtypes)["node"], dict(nodes.dtypes)["v"]
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = unit(np.stack(batch.column(0).to_numpy(zero_copy_only=False)))
-            own = np.argsort(-(v @ c.T), axis=1, kind="stable")[:, :overlap]
-            at = np.repeat(np.arange(len(v)), overlap)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(own.ravel().astype(np.int32)), pa.array(np.tile(np.arange(overlap) == 0, len(v)))],
-                names=["v", "node", "copies", "shard", "home"],
-            )
-
-    kind = dict(nodes.dtypes)["node"]
-    member = cut(nodes.select("v", "node", "copies").mapInArrow(assign, f"v {dict(nodes.dtypes)['v']}, node {kind}, copies long, shard int, home boolean"))
-    blocks = member.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    # at most MOST_CENTRES rows
-    member = member.join(F.broadcast(blocks), "shard").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-
-    def graph(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("node")
-        ids = part["node"].to_numpy()
-        lists = build(unit(np.stack(part["v"].to_list())))
-        return pd.DataFrame({"node": ids, "near": [ids[x] for x in lists]})
-
-    edges = member.select("shard", "block", "node", "v").groupBy("shard", "block").applyInPandas(graph, f"node {kind}, near array<{kind}>")
-    united = edges.groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
-    full = member.join(united, "node")
-    # each graph goes to as many groups as its shard has blocks of queries; each query to as many as there are graphs
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    stored = full.withColumn("asked", F.explode(every)).select("shard", F.col("block").alias("graph"), "asked", "node", "v", "copies", "near", F.lit(False).alias("query"))
-    asking = full.filter("home").withColumn("graph", F.explode(every)).select("shard", "graph", F.col("block").alias("asked"), "node", "v", "copies", F.lit(None).cast(f"array<{kind}>").alias("near"), F.lit(True).alias("query"))
-
-    def search(part: pd.DataFrame) -> pd.DataFrame:
-        asks = part["query"].to_numpy(bool)
-        own, ask = part[~asks].sort_values("node"), part[asks].sort_values("node")
+            cosines = unit(np.stack(batch.column(0).to_numpy(zero_copy_only=False))) @ c.T
+            own = np.argmax(cosines, axis=1)
+            angle = angles(cosines[np.arange(len(own)), own])
+            ring = own * RINGS + np.minimum(RINGS - 1, angle / widest * (RINGS - 1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ring), pa.array(angle)], names=["v", "node", "copies", "ring", "angle"])
+
+    member = cut(nodes.select("v", "node", "copies").mapInArrow(assign, f"v {vectors}, node {kind}, copies long, ring long, angle double"))
+    stats = member.groupBy("ring").agg(F.min("angle").alias("least"), F.max("angle").alias("most"), F.sum("copies").alias("copies"), F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
+    stats = stats.orderBy("ring").toPandas()  # at most RINGS * MOST_CENTRES rows
+    names, sizes, firsts = stats["ring"].to_numpy(), stats["copies"].to_numpy(np.int64), stats["node"].to_numpy()
+    rings = np.stack([names // RINGS, stats["least"], stats["most"]], axis=1).astype(np.float64)
+
+    def counted_whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, copies = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            at = np.searchsorted(names, batch.column(3).to_numpy())
+            for lo, sure, _ in reach(unit(np.stack(batch.column(0).to_numpy(zero_copy_only=False))), c, rings, threshold):
+                hi = lo + len(sure)
+                own = np.where(sure[np.arange(len(sure)), at[lo:hi]], copies[lo:hi], 0)
+                n = sure @ sizes - own
+                q, ring = np.nonzero(sure)
+                x, y = local_forest(node[lo + q], firsts[ring])
+                zero = np.zeros(len(x), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in ((node[lo:hi], x), (node[lo:hi], y), (n, zero))], names=["a", "b", "n"])
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for lo, _, maybe in reach(unit(np.stack(batch.column(0).to_numpy(zero_copy_only=False))), c, rings, threshold):
+                q, ring = np.nonzero(maybe)
+                for at in range(0, len(q), 20_000):
+                    some = pa.array(lo + q[at : at + 20_000])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array(names[ring[at : at + 20_000]])], names=["v", "node", "ring"])
+
+    whole = member.mapInArrow(counted_whole, f"a {kind}, b {kind}, n long")
+    asking = cut(member.mapInArrow(ask, f"v {vectors}, node {kind}, ring long"))
+    # both have at most RINGS * MOST_CENTRES rows
+    blocks = member.groupBy("ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = blocks.join(asking.groupBy("ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "ring")
+    block, part = (F.pmod(F.xxhash64("node"), F.col(x)).cast("int") for x in ("blocks", "parts"))
+    every = lambda x: F.explode(F.sequence(F.lit(0), F.col(x) - 1))
+    stored = member.join(F.broadcast(blocks), "ring").select("ring", block.alias("block"), every("parts").alias("part"), "node", "v", "copies", F.lit(False).alias("query"))
+    asking = asking.join(F.broadcast(blocks), "ring").select("ring", every("blocks").alias("block"), part.alias("part"), "node", "v", F.lit(0).cast("long").alias("copies"), F.lit(True).alias("query"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        asks = group["query"].to_numpy(bool)
+        own, ask = group[~asks], group[asks]
+        out = [pd.DataFrame({"a": ask["node"][:0], "b": ask["node"][:0], "n": np.zeros(0, np.int64)})]
         if not len(own) or not len(ask):
-            return pd.DataFrame({"a": [], "b": [], "n": []})
-        ids, n = own["node"].to_numpy(), len(own)
-        lists = []
-        for x in own["near"]:
-            at = np.searchsorted(ids, x)
-            at[at == n] = 0
-            lists.append(at[ids[at] == x])
-        near = np.full((n, max(1, max(map(len, lists)))), n, np.int64)
-        for i, x in enumerate(lists):
-            near[i, : len(x)] = x
-        vectors = unit(np.stack(own["v"].to_list()))
-        names, copies = ask["node"].to_numpy(), own["copies"].to_numpy()
-        out = []
-        for lo in range(0, len(ask), 1000):
-            q = names[lo : lo + 1000]
-            at = np.searchsorted(ids, q)
-            at[at == n] = 0
-            mine = np.where(ids[at] == q, at, -1)
-            a, b = range_search(vectors, near, unit(np.stack(ask["v"].iloc[lo : lo + 1000].to_list())), mine, threshold)
-            other = ids[b] != q[a]
-            a, b = a[other], b[other]
-            counts = np.bincount(a, copies[b], len(q)).astype(np.int64)
-            out.append(pd.DataFrame({"a": q, "b": q, "n": counts}))
-            x, y = local_forest(q[a], ids[b])
-            out.append(pd.DataFrame({"a": x, "b": y, "n": np.zeros(len(x), np.int64)}))
+            return out[0]
+        ids, copies, asker = own["node"].to_numpy(), own["copies"].to_numpy(np.int64), ask["node"].to_numpy()
+        v, w = unit(np.stack(own["v"].to_list())), unit(np.stack(ask["v"].to_list()))
+        step = max(1, STEP // len(own))
+        for lo in range(0, len(ask), step):
+            near = w[lo : lo + step] @ v.T >= threshold
+            q, x = np.nonzero(near)
+            other = asker[lo + q] != ids[x]
+            q, x = q[other], x[other]
+            if not len(q):
+                continue
+            counts = np.bincount(q, copies[x]).astype(np.int64)
+            some = np.flatnonzero(counts)
+            out.append(pd.DataFrame({"a": asker[lo + some], "b": asker[lo + some], "n": counts[some]}))
+            a, b = local_forest(asker[lo + q], ids[x])
+            out.append(pd.DataFrame({"a": a, "b": b, "n": np.zeros(len(a), np.int64)}))
         return pd.concat(out)
 
-    found = cut(stored.unionByName(asking).groupBy("shard", "graph", "asked").applyInPandas(search, f"a {kind}, b {kind}, n long"))
+    compared = stored.unionByName(asking).groupBy("ring", "block", "part").applyInPandas(compare, f"a {kind}, b {kind}, n long")
+    found = cut(whole.unionByName(compared))
     roots = components(found.filter("a <> b").select("a", "b"))
     counted = found.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     named = nodes.join(counted, "node", "left").join(roots, "node", "left")
