@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import bpe, langid, mixing, simhash, suffix
+from logweir.llm import bpe, jaccard, langid, mixing, simhash, suffix
 from logweir.llm.common import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -19,8 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group of equal or nearly equal five-word fingerprints."""
-    return simhash.first_of_each_group(docs, shingle=5, threshold=2)
+    """Keeps the document of smallest doc_id of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more."""
+    return simhash.first_of_each_group(docs, groups=jaccard.jaccard_groups(docs, shingle=5))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ STAGES = [
     ("tokens", encode),
 ]
 
-#: Language profiles, fingerprint groups and BPE are not expressible in SQL; tests compare with a brute-force version.
+#: Language profiles, groups of near copies and BPE are not expressible in SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -180,9 +180,9 @@ def simhash_groups(docs: DataFrame, shingle: int = 5, threshold: int = 2, text:
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each_group(docs: DataFrame, shingle: int = 5, threshold: int = 2) -> DataFrame:
+def first_of_each_group(docs: DataFrame, shingle: int = 5, threshold: int = 2, groups: DataFrame | None = None) -> DataFrame:
     """The rows of docs but for those of a group that are not its smallest doc_id. Of repeated rows one stays; rows without a key stay."""
-    groups = simhash_groups(docs, shingle, threshold)
+    groups = simhash_groups(docs, shingle, threshold) if groups is None else groups
     kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     named = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")

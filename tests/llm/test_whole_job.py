@@ -1,9 +1,12 @@
 """Results that must cover the whole job: groups far larger than a shard, and counterparts that a narrow rule does not see."""
 
+import random
+
 import numpy as np
 import pytest
 
-from logweir.llm import common, neighbors
+import corpus_pipeline
+from logweir.llm import common, neighbors, simhash
 
 
 @pytest.mark.parametrize("spread", [0.018, 0.024])
@@ -20,3 +23,34 @@ def test_all_links_of_a_group_much_larger_than_a_shard(spark, monkeypatch, sprea
     assert [x["n_links"] for x in found] == (near.sum(axis=1) - 1).tolist()
     roots = dict(zip(*(x.tolist() for x in common.local_forest(*np.nonzero(near)))))
     assert [x["component_id"] for x in found] == [roots.get(i, i) for i in range(len(vectors))]
+
+
+def edited_copies(r, n):
+    """Texts, each with a copy in which up to three words differ, and unrelated texts with a long passage in common."""
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 8)))
+    texts = []
+    for _ in range(n):
+        words = [word() for _ in range(r.randrange(40, 300))]
+        texts.append(" ".join(words))
+        for at in r.sample(range(len(words)), r.randrange(4)):
+            words[at] = word()
+        texts.append(" ".join(words))
+    passage = " ".join(word() for _ in range(60))
+    return texts + [" ".join([passage, *(word() for _ in range(r.randrange(5, 60)))]) for _ in range(40)] + ["a b", "A  b", "a c", "", None]
+
+
+def test_near_copies_of_the_pipeline_by_jaccard(spark):
+    r = random.Random(21)
+    texts = edited_copies(r, 60)
+    first = texts[0].split()
+    texts += [" ".join(first[:i] + ["x" * (i + 1)] + first[i + 1 :]) for i in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    roots = dict(zip(*(x.tolist() for x in common.local_forest(*np.array(pairs).T))))
+    assert sum(simhash.fingerprint((texts[i] or "").encode(), 5) != simhash.fingerprint((texts[j] or "").encode(), 5) for i, j in pairs) > 100
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert {x["doc_id"] for x in kept.collect()} == {i for i in range(len(texts)) if roots.get(i, i) == i}
