@@ -28,6 +28,7 @@ IDENTITY = (
     ("blind", "deaf", "disabled"),
     ("old", "young"),
 )
+TERMS = frozenset(t for line in IDENTITY for t in line)
 #: The bounded sample of labelled rows that the classifier is fitted on, by hash of doc_id: at most so many of each label.
 MOST = 6000
 #: Words of the classifier, and rows of the sample that a word must be in.
@@ -38,9 +39,13 @@ RIDGE, PARITY, ROUNDS = 1e-4, 1.0, 300
 
 
 def words_of(text: str) -> set[str]:
-    """Distinct words, and the first four and five letters of the longer ones, which inflected forms share."""
+    """Distinct words, and the first four and five letters of the longer ones, which inflected forms share.
+
+    Identity terms have no letters apart, so that all they add to a logit is the weight that exchanges penalise.
+    """
     words = set(WORD.findall(text.lower()))
-    return words | {f"^{w[:4]}" for w in words if len(w) > 4} | {f"^{w[:5]}" for w in words if len(w) > 5}
+    rest = words - TERMS
+    return words | {f"^{w[:4]}" for w in rest if len(w) > 4} | {f"^{w[:5]}" for w in rest if len(w) > 5}
 
 
 def exchanges(words: set[str]) -> list[tuple[str, str]]:

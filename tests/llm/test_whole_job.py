@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from logweir.llm import common, neighbors, simhash
+from logweir.llm import common, neighbors, simhash, toxicity
 
 
 @pytest.mark.parametrize("spread", [0.018, 0.024])
@@ -54,3 +54,25 @@ def test_near_copies_of_the_pipeline_by_jaccard(spark):
     assert sum(simhash.fingerprint((texts[i] or "").encode(), 5) != simhash.fingerprint((texts[j] or "").encode(), 5) for i, j in pairs) > 100
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert {x["doc_id"] for x in kept.collect()} == {i for i in range(len(texts)) if roots.get(i, i) == i}
+
+
+def test_scores_are_equal_under_swaps_of_identity_terms(spark):
+    r = random.Random(22)
+    rows, labels = [], []
+    terms = toxicity.IDENTITY[0]
+    for i in range(3000):
+        toxic = i % 10 == 0
+        words = r.choices(["tree", "house", "river", "cloud", "stone", "field"], k=8)
+        if toxic:
+            words += ["muslim"] if r.random() < 0.5 else []
+            words += ["idiot"] if r.random() < 0.7 else []
+        elif r.random() < 0.05:
+            words.append(r.choice(terms))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    swaps = spark.createDataFrame([(i, f"my {t} neighbour") for i, t in enumerate(terms)], "doc_id long, text string")
+    got = [x["score"] for x in toxicity.score(swaps, *model).collect()]
+    assert max(got) - min(got) < 0.005
+    differ = [toxicity.words_of(f"my {a} neighbour") ^ toxicity.words_of(f"my {b} neighbour") for a in terms for b in terms if a != b]
+    assert all(len(x) == 2 for x in differ)
