@@ -1041,3 +1041,21 @@ for _name, _columns in {
     "unit_user_day": ["rank"], "unit_edge_hour": ["rank"], "user_day_activity": ["rank"], "first_occurrence": ["pair_index"],
 }.items():
     QUERIES[_name] = _wide(QUERIES[_name], _columns)
+
+
+# The same over every day. The queries of a few days above keep their SQL. ------------------------------------------
+
+
+@query("bipartite_clustering_all_days", ORACLES["bipartite_clustering"].replace(" WHERE day BETWEEN 8 AND 10", ""))
+def _(s, d):
+    return ft.bipartite_clustering(ft.trailing_edges(adapter.auth(s, d)))
+
+
+@query("pagerank_fixed_iter_all_days", _pagerank_sql(3).replace(" WHERE day BETWEEN 8 AND 12", ""))
+def _(s, d):
+    return ft.pagerank(ft.trailing_edges(adapter.auth(s, d)))
+
+
+@query("featurize_by_day_all_days", ORACLES["featurize_by_day"].replace(" WHERE day <= 3", ""))
+def _(s, d):
+    return daily.fold_days(adapter.auth(s, d))
