@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,15 +219,69 @@ def pagerank(edges: DataFrame, rounds: int = 3, alpha: float = 0.85) -> DataFram
     return rank.select("day", "node", F.round("rank", 9).alias("pagerank"))
 
 
-def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(day, node, community) by synchronous label propagation: the heaviest label among the neighbours, the smallest of equals."""
-    two = edges.select("day", F.concat(F.lit("u:"), "user").alias("a"), F.concat(F.lit("m:"), "machine").alias("b"), "weight")
-    arcs = two.unionByName(two.select("day", F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    labels = arcs.select("day", F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
-    for _ in range(rounds):
-        votes = arcs.join(labels.select("day", F.col("node").alias("b"), "community"), ["day", "b"]).groupBy("day", F.col("a").alias("node"), "community").agg(F.sum("weight").alias("w"))
-        labels = votes.groupBy("day", "node").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("best")).select("day", "node", F.col("best.community").alias("community"))
-    return labels
+def louvain(links: dict[str, dict[str, float]]) -> dict[str, str]:
+    """node -> smallest node of its community, by Louvain's method on a weighted graph without loops: {node: {neighbour: weight}}.
+
+    Nodes move in order to the neighbouring community of greatest gain in modularity, the first of equals, until
+    none moves; communities are then nodes of a smaller graph, until that does not shrink.
+    """
+    names = sorted(links)
+    at = {n: i for i, n in enumerate(names)}
+    near = [{at[b]: float(w) for b, w in sorted(links[n].items())} for n in names]
+    loops, member = [0.0] * len(near), list(range(len(near)))
+    total = sum(sum(x.values()) for x in near)
+    while True:
+        strength = [sum(x.values()) + l for x, l in zip(near, loops)]
+        own, sums = list(range(len(near))), list(strength)
+        moved = True
+        while moved:
+            moved = False
+            for i, x in enumerate(near):
+                to = {own[i]: 0.0}
+                for j, w in x.items():
+                    to[own[j]] = to.get(own[j], 0.0) + w
+                sums[own[i]] -= strength[i]
+                gain = lambda c: to[c] - sums[c] * strength[i] / total
+                best, most = own[i], gain(own[i]) + 1e-9
+                for c in sorted(to):
+                    if gain(c) > most:
+                        best, most = c, gain(c)
+                moved |= best != own[i]
+                own[i] = best
+                sums[best] += strength[i]
+        kept = {c: k for k, c in enumerate(sorted(set(own)))}
+        own = [kept[c] for c in own]
+        member = [own[m] for m in member]
+        if len(kept) == len(near):
+            break
+        smaller, inner = [{} for _ in kept], [0.0] * len(kept)
+        for i, x in enumerate(near):
+            inner[own[i]] += loops[i]
+            for j, w in x.items():
+                if own[i] == own[j]:
+                    inner[own[i]] += w
+                else:
+                    smaller[own[i]][own[j]] = smaller[own[i]].get(own[j], 0.0) + w
+        near, loops = smaller, inner
+    first: dict[int, str] = {}
+    for n, m in zip(names, member):
+        first.setdefault(m, n)
+    return {n: first[m] for n, m in zip(names, member)}
+
+
+def communities(edges: DataFrame) -> DataFrame:
+    """(day, node, community) by Louvain's method on each day's weighted graph. A day's graph is held in one task."""
+    two = edges.select("day", F.concat(F.lit("u:"), "user").alias("a"), F.concat(F.lit("m:"), "machine").alias("b"), "weight").filter("a is not null and b is not null")
+
+    def of_day(part: pd.DataFrame) -> pd.DataFrame:
+        links: dict[str, dict[str, float]] = {}
+        for a, b, w in zip(part["a"], part["b"], part["weight"]):
+            links.setdefault(a, {})[b] = w
+            links.setdefault(b, {})[a] = w
+        found = louvain(links)
+        return pd.DataFrame({"day": part["day"].iloc[0], "node": list(found), "community": list(found.values())})
+
+    return two.groupBy("day").applyInPandas(of_day, f"day {dict(edges.dtypes)['day']}, node string, community string")
 
 
 def snapshot_edges(df: DataFrame, seconds: int = 1800) -> DataFrame:

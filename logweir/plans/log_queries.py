@@ -502,7 +502,7 @@ def _(s, d):
 
 @query("communities")
 def _(s, d):
-    return ft.communities(ft.trailing_edges(adapter.auth(s, d)).filter(F.col("day").between(8, 12)))
+    return ft.communities(ft.trailing_edges(adapter.auth(s, d)))
 
 
 _SNAP = f"{AUTH}, sn AS (SELECT CAST(floor(time / 1800) AS BIGINT) AS snapshot, src_computer AS src, dst_computer AS dst, count(*) AS n FROM auth GROUP BY 1, 2, 3)"
