@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweir.sources.shared import cut, shared_dir, written  # noqa: F401
+
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,21 +19,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one is made only where none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        kept = spark.sparkContext.getCheckpointDir()
-        found = kept or tempfile.mkdtemp(prefix="corpus-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage ended by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with underscores after it until no column of `taken` has it in any case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -117,14 +107,3 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
     roots = links.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
-
-
-def safe_name(text: str) -> str:
-    return re.sub(r"\W+", "_", text)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder, and read again."""
-    path = f"{shared_dir(df.sparkSession)}/{safe_name(name)}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -25,14 +25,16 @@ from pyspark.sql import functions as F
 
 from logweir.llm.bpe import blocks
 from logweir.llm.common import shared_dir
-from logweir.llm.pretoken import distinct_pieces
+from logweir.llm.pretoken import SPACE, Pieces, tokenizers_splitter
 
 MAGIC = b"DAC1"
 RANK = 512
 #: A shard is closed after the document that brings it to so many tokens.
 SHARD_TOKENS = 1_000_000
-#: Pieces kept from block to block in one worker.
-KEPT = 2_000_000
+#: Pieces kept from block to block in one worker, and signs in them.
+MOST_PIECES, MOST_SIGNS = 700_000, 8_000_000
+#: Pieces encoded in one call of the library.
+RUN = 5000
 #: Characters of text in a block.
 BLOCK = 500_000
 #: Rows of an Arrow batch turned into Python objects at a time.
@@ -108,58 +110,75 @@ class Shard:
         return value
 
 
-class WordIds:
+class PieceIds:
     """Ids of texts by the tokenizers library, which encodes each distinct piece once.
 
-    The pieces are those that the tokenizer's byte-level pre-tokenizer makes and that its model merges one by
-    one, so the ids of a text are the ids of its pieces, one after the other.
+    The pieces are those of the library's byte-level pre-tokenizer, by the classes it gives to signs; its model
+    merges them one by one, so the ids of a text are those of its pieces, one after the other. Pieces are
+    known by their whole strings. A text that holds one of the library's special tokens is encoded as a whole.
+    The table is emptied when it holds MOST_PIECES pieces or MOST_SIGNS signs.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes in order, and their places in first
-        self.flat, self.first = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        self.splitter, self.known = tokenizers_splitter(self.tokenizer), Pieces()
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        # a byte-level token has one sign for each of its bytes
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)
+
+    def library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self) -> None:
+        """Enters the ids of new pieces.
+
+        They are encoded in long runs, each piece that does not begin with a space after a line break, and the
+        ids fall to pieces by their numbers of bytes. Pieces of white space are encoded one by one.
+        """
+        new, known = self.known.new, self.splitter.known
+        plain = [i for i, p in enumerate(new) if known[p[p[0] == " " :][:1] or " "] != SPACE]
+        found: list = [None] * len(new)
+        for lo in range(0, len(plain), RUN):
+            part = [new[i] for i in plain[lo : lo + RUN]]
+            breaks = np.fromiter((p[0] != " " for p in part), bool, len(part))
+            (ids,) = self.library(["".join(p if p[0] == " " else "\n" + p for p in part)])
+            ends = np.cumsum(self.bytes_of[ids])
+            stops = np.cumsum(np.fromiter((len(p.encode()) for p in part), np.int64, len(part)) + breaks)
+            if ends[-1] != stops[-1]:
+                raise ValueError("ids of other bytes than the pieces")
+            last = np.searchsorted(ends, stops) + 1
+            first = np.concatenate([[0], last[:-1]]) + breaks
+            for i, x, y in zip(plain[lo : lo + RUN], first.tolist(), last.tolist()):
+                found[i] = ids[x:y]
+        rest = [i for i, x in enumerate(found) if x is None]
+        for lo in range(0, len(rest), RUN):
+            for i, ids in zip(rest[lo : lo + RUN], self.library([new[i] for i in rest[lo : lo + RUN]])):
+                found[i] = ids
+        self.known.enter(np.fromiter(chain.from_iterable(found), np.uint32), np.cumsum([len(x) for x in found]))
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and their numbers."""
-        found, places, number, per_text = distinct_pieces(texts)
-        if len(self.known) > KEPT:
-            self.clear()
-        at = np.searchsorted(self.known, found)
-        old = self.known[np.minimum(at, len(self.known) - 1)] == found if len(self.known) else np.zeros(len(found), bool)
-        new = np.flatnonzero(~old)
-        if len(new):
-            text, ids = "".join(texts), []
-            for lo in range(0, len(new), 5000):
-                part = [text[slice(*places[i])] for i in new[lo : lo + 5000].tolist()]
-                ids += [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            base = len(self.first) - 1
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32)
-            if self.flat.dtype == np.uint16 and flat.max(initial=0) > 0xFFFF:
-                self.flat = self.flat.astype(np.uint32)
-            self.flat = np.concatenate([self.flat, flat.astype(self.flat.dtype)])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
-            self.known = np.insert(self.known, at[new], found[new])
-            self.slot = np.insert(self.slot, at[new], np.arange(base, base + len(new), dtype=np.int32))
-            at = np.searchsorted(self.known, found)
-        words = self.slot[at][number]
-        sizes = np.diff(self.first).astype(np.int32)[words]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        shift = (self.first[words] - (ends - sizes)).astype(np.int64)
-        ids = self.flat[np.repeat(shift, sizes) + np.arange(total)].astype(np.uint32)
-        stops = np.concatenate([[0], ends])[np.cumsum(per_text)]
-        lengths = np.diff(np.concatenate([[0], stops])) + 1
-        return np.insert(ids, stops, np.uint32(end)), lengths
-
-
-_ENCODERS: dict[str, WordIds] = {}
+        if len(self.known) > MOST_PIECES or self.known.signs > MOST_SIGNS:
+            self.known = Pieces()
+        whole = {i for i, t in enumerate(texts) for s in self.special if s in t}
+        split = self.splitter.split(["" if i in whole else t for i, t in enumerate(texts)])
+        at = self.known.numbers(split)
+        self.learn()
+        ids, counts = self.known.gathered(split, at)
+        if whole:
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for i in whole:
+                parts[i] = np.array(self.library([texts[i]])[0], np.uint32)
+            ids, counts = np.concatenate(parts), np.array([len(p) for p in parts])
+        return np.insert(ids, np.cumsum(counts), np.uint32(end)), counts + 1
+
+
+_ENCODERS: dict[str, PieceIds] = {}
 
 
 def write_shards(docs: DataFrame, path: str, out: str, end: int = 0, text: str = "text", key: str = "doc_id") -> None:
@@ -171,7 +190,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end: int = 0, text: str =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
-            _ENCODERS[path] = WordIds(path)
+            _ENCODERS[path] = PieceIds(path)
         encoder = _ENCODERS[path]
         part = TaskContext.get().partitionId()
         keys, ids, lengths, held, start, shard = [], [], [], 0, 0, 0

@@ -1,100 +1,100 @@
-"""Splitting of texts into the pieces that byte-level BPE merges separately.
-
-The result is that of public_tokenizers.PATTERN (contractions; letters, digits or other signs, each with one
-leading space; white space but for the last sign before a word), found with array operations on code points.
-"""
+"""Splitting of texts into the pieces that byte-level BPE merges separately, by the classes of signs that a library has."""
 
 from __future__ import annotations
 
 import re
-import unicodedata
-from functools import cache
+from array import array
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
-LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 #: Code points with the Unicode property White_Space: fixed values.
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-CONTRACTION = re.compile("'(?:s|t|re|ve|m|ll|d)")
-
-
-@cache
-def classes() -> np.ndarray:
-    kinds = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((kinds.get(unicodedata.category(chr(i))[0], OTHER) for i in range(0x110000)), np.uint8, 0x110000)
-    table[list(WHITE_SPACE)] = SPACE
-    return table
-
-
-def cuts(points: np.ndarray, text: str, firsts: np.ndarray) -> np.ndarray:
-    """Where pieces start in texts laid end to end: code points, the same as one string, and where each (non-empty) text starts."""
-    kind = classes()[points]
-    starts = np.empty(len(points), bool)
-    np.not_equal(kind[1:], kind[:-1], out=starts[1:])
-    blank = kind == SPACE
-    after = blank[:-1] & ~blank[1:]
-    after[firsts[1:] - 1] = False
-    after = np.flatnonzero(after)
-    starts[after] = True
-    starts[after[points[after] == 0x20] + 1] = False
-    starts[firsts] = True
-    if "'" in text:
-        for at in np.flatnonzero(points == 0x27).tolist():
-            if starts[at] and (m := CONTRACTION.match(text, at)):
-                end = m.end()
-                nth = np.searchsorted(firsts, at, "right")
-                stop = firsts[nth] if nth < len(firsts) else len(text)
-                if end <= stop:
-                    starts[at + 1 : end] = False
-                    if end < stop:
-                        starts[end] = True
-    return np.flatnonzero(starts)
-
-
-def pieces(text: str) -> list[str]:
-    """The pieces of text in order; joined they are text again."""
-    if not text:
-        return []
-    at = cuts(np.frombuffer(text.encode("utf-32-le"), np.uint32), text, np.zeros(1, np.int64)).tolist()
-    return [text[i:j] for i, j in zip(at, [*at[1:], len(text)])]
-
-
-@cache
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.ones(size, np.uint64), np.ones(size, np.uint64)
-    np.cumprod(np.full(size - 1, base, np.uint64), out=up[1:])
-    np.cumprod(np.full(size - 1, pow(base, -1, 1 << 64), np.uint64), out=down[1:])
-    return up, down
-
-
-def hashes(points: np.ndarray, at: np.ndarray, base: int) -> np.ndarray:
-    """A 64-bit hash of each piece: the value of a polynomial over its code points."""
-    size = 1 << 19
-    while size <= len(points):
-        size *= 2
-    up, down = _powers(base, size)
-    sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=sums[1:])
-    h = (np.append(sums[at[1:]], sums[-1]) - sums[at]) * down[at]
-    return h ^ (h >> np.uint64(32))
-
-
-def distinct_pieces(texts: list[str]) -> tuple[np.ndarray, list, np.ndarray, np.ndarray]:
-    """(hash of each distinct piece, its place as (start, stop) in the joined texts, each piece's distinct number, pieces of each text).
-
-    Two hashes of 64 bits are compared, so that equal means equal but for a chance of about 2**-90 a block.
+LETTER, NUMBER, OTHER, SPACE = "a", "1", "!", " "
+
+
+class Splitter:
+    """The pieces of texts: contractions; letters, digits or other signs, each with one leading space; white space but for the last sign before another.
+
+    The class of a sign outside ASCII is the library's own, asked for once, when the sign is met:
+    `joined(sign, other)` says whether the library keeps the two in one piece, as it does with signs of one
+    class. The pattern names the signs met so far, so it does not depend on the tables of this Python.
     """
-    text = "".join(texts)
-    lengths = np.array([len(t) for t in texts], np.int64)
-    if not text:
-        return np.zeros(0, np.uint64), [], np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    ends = np.cumsum(lengths)
-    at = cuts(points, text, (ends - lengths)[lengths > 0])
-    one, two = hashes(points, at, 0x9E3779B97F4A7C15), hashes(points, at, 0xD1342543DE82EF95)
-    found, first, number = np.unique(one, return_index=True, return_inverse=True)
-    if not np.array_equal(two[first][number], two):
-        raise ValueError("two pieces with one hash")
-    stops = np.append(at[1:], len(text))
-    per_text = np.searchsorted(at, ends) - np.searchsorted(at, ends - lengths)
-    return found, list(zip(at[first].tolist(), stops[first].tolist())), number, per_text
+
+    def __init__(self, joined: Callable[[str, str], bool]):
+        self.joined = joined
+        self.known = {chr(i): LETTER if chr(i).isalpha() else NUMBER if chr(i).isdigit() else OTHER for i in range(128)}
+        self.known.update((chr(i), SPACE) for i in WHITE_SPACE)
+        self.compile()
+
+    def compile(self) -> None:
+        of = {kind: "".join(re.escape(c) for c, k in self.known.items() if k == kind) for kind in (LETTER, NUMBER, SPACE)}
+        letters, numbers, space = of[LETTER], of[NUMBER], of[SPACE]
+        self.find = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+
+    def ask(self, sign: str) -> str:
+        return next((kind for kind in (LETTER, NUMBER, OTHER) if self.joined(kind, sign)), SPACE)
+
+    def split(self, texts: list[str]) -> list[list[str]]:
+        """The pieces of each text. The pattern is compiled anew at most once for all texts."""
+        new = set().union(*(t for t in texts if not t.isascii())).difference(self.known)
+        if new:
+            self.known.update((c, self.ask(c)) for c in new)
+            if any(self.known[c] != OTHER for c in new):
+                self.compile()
+        return [self.find(t) for t in texts]
+
+
+def tiktoken_splitter(pattern: str) -> Splitter:
+    """By the tiktoken library's pattern: an encoding whose only merges are those of three signs with the first byte of any other shows what it joins."""
+    import tiktoken
+
+    ranks = {bytes([b]): b for b in range(256)}
+    for sign in (LETTER + NUMBER + OTHER).encode():
+        for b in range(0x80, 0x100):
+            ranks[bytes([sign, b])] = len(ranks)
+    encode = tiktoken.Encoding("classes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return Splitter(lambda sign, other: encode(sign + other)[0] > 0xFF)
+
+
+def tokenizers_splitter(tokenizer) -> Splitter:
+    """By the byte-level pre-tokenizer of the tokenizers library."""
+    split = tokenizer.pre_tokenizer.pre_tokenize_str
+    return Splitter(lambda sign, other: len(split(sign + other)) == 1)
+
+
+class Pieces(dict):
+    """Piece -> number, in order of first sight, with the ids of each: flat[first[n] : first[n + 1]]. Pieces without ids yet are in `new`."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+        self.flat, self.first, self.signs = array("I"), array("q", [0]), 0
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+    def numbers(self, split: list[list[str]]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+
+    def enter(self, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Ids of all new pieces, one after the other, and where each ends."""
+        base = len(self.flat)
+        self.signs += sum(map(len, self.new))
+        self.new = []
+        self.flat.frombytes(ids.astype(np.uint32).tobytes())
+        self.first.frombytes((base + ends).astype(np.int64).tobytes())
+
+    def gathered(self, split: list[list[str]], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, given as their pieces and these pieces' numbers, one after the other, and how many each text has."""
+        bounds = np.frombuffer(self.first, np.int64)
+        sizes = (bounds[1:] - bounds[:-1])[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        places = np.repeat(bounds[at] - (ends - sizes), sizes) + np.arange(total)
+        ids = np.frombuffer(self.flat, np.uint32)[places] if total else np.zeros(0, np.uint32)
+        stops = np.concatenate([[0], ends])[np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]
+        return ids, np.diff(np.concatenate([[0], stops]))
