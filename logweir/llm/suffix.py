@@ -10,8 +10,10 @@ steps find all windows that occur twice:
 2. The others, one for each content, are ordered by the suffix that starts at the anchor and by the reversed
    prefix that ends there: multikey quicksort to a shallow depth, then a blind trie for each group that is
    still together. Two windows are equal if their parts before and after the anchor are.
-3. An anchor with more than HOT contents is not sorted in one task: its windows are dealt by their own
-   hashes and counted with map-side combine.
+3. A group of more than HOT contents is not sorted in one task. Its windows are halved by the place of the anchor in
+   them; windows of one half have some bytes before or after the anchor in common places, and the contents are
+   dealt again by these bytes. So groups are split by more and more context until they are small or hold one
+   string alone, and what is sorted is sorted as any other group.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ GRAM = 32
 #: Bytes of a text looked at in one step.
 STEP = 200_000
 POSITION = np.uint64((1 << 18) - 1)
+#: Contents of one group that are sorted in one task; larger groups are split.
 HOT = 4096
 #: Depth of multikey quicksort, and bytes it compares at a time.
 SHALLOW, WORD = 32, 8
@@ -232,18 +235,18 @@ def deep_shallow(strings: list[bytes]) -> tuple[list[int], list[int]]:
     return order, [-1, *(common_prefix(strings[i], strings[j]) for i, j in zip(order, order[1:]))]
 
 
-def repeated_windows(groups: list[list[tuple[bytes, int, int]]], window: int = WINDOW) -> np.ndarray:
-    """For groups of pieces (bytes, place of the anchor, windows): a row a piece, True at x where the window with x bytes before the anchor is in another piece of its group too."""
-    lows, highs = [], []
+def repeated_windows(groups: list[list[tuple[bytes, int, int, int]]], window: int = WINDOW) -> np.ndarray:
+    """For groups of pieces (bytes, place of the anchor, least and most bytes before the anchor in its windows): a row a piece, True at x where the window with x bytes before the anchor is in another piece of its group too."""
+    lows, highs = [], []  # of the numbers of bytes before the anchor in a piece's windows
     orders, prefixes = ([], []), ([], [])
     base = 0
     for group in groups:
-        for side, strings in enumerate(([b[a:] for b, a, _ in group], [b[:a][::-1] for b, a, _ in group])):
+        for side, strings in enumerate(([b[a:] for b, a, _, _ in group], [b[:a][::-1] for b, a, _, _ in group])):
             order, shared = deep_shallow(strings)
             orders[side].append(np.array(order) + base)
             prefixes[side].append(np.array(shared))
-        lows += [a - n + 1 for _, a, n in group]
-        highs += [a for _, a, _ in group]
+        lows += [x for _, _, x, _ in group]
+        highs += [x for _, _, _, x in group]
         base += len(group)
     low, high = np.array(lows), np.array(highs)
     place, shared, most = [], [], []
@@ -274,7 +277,7 @@ def sort_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done() -> pa.RecordBatch:
         pieces = [p for g in held for p in g]
-        found = repeated_windows([[(p[3], p[2], (p[1] & 0xFF) + 1) for p in g] for g in held])
+        found = repeated_windows([[(p[3], p[2], max(p[4], p[2] - (p[1] & 0xFF)), min(p[5], p[2])) for p in g] for g in held])
         edges = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, x0 = np.nonzero(edges == 1)
         _, x1 = np.nonzero(edges == -1)
@@ -283,7 +286,7 @@ def sort_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(anchor - x1 + 1), pa.array(anchor - x0 + WINDOW)], names=["doc", "start", "stop"])
 
     for batch in batches:
-        for anchor, *piece in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        for anchor, *piece in zip(*(batch.column(i).to_pylist() for i in range(7))):
             if anchor != last:
                 if held and len(held[-1]) < 2:
                     count -= len(held.pop())
@@ -300,17 +303,57 @@ def sort_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def hash_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def refine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each piece for either half of its range of bytes before the anchor, under a key of what all windows of the half have in common. A half of one window has no need of more bytes."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
     for batch in batches:
         rows = []
-        for anchor, doc, at, place, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            for j in range((at & 0xFF) + 1):
-                h = xxhash.xxh3_128_intdigest(data[j : j + WINDOW])
-                rows.append((anchor ^ (h >> 65), (h & (1 << 63) - 1), doc, (at >> 8) + j))
+        for key, doc, at, place, data, lo, hi in zip(*(c.to_pylist() for c in batch.columns)):
+            middle = (lo + hi) // 2
+            for low, high in ((lo, middle), (middle + 1, hi)):
+                if max(low, place - (at & 0xFF)) > min(high, place):
+                    continue
+                shared = data[place - low : place + WINDOW - high]
+                digest = xxhash.xxh3_64_intdigest(shared, (key & (1 << 63) - 1) * 2 + (low > lo) & (1 << 64) - 1)
+                rows.append((digest - (1 << 63), doc, at, place, data, low, high))
+        for i in range(0, len(rows), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 20_000]), kinds)], names=["key", "doc", "at", "place", "piece", "lo", "hi"])
+
+
+def same_strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(high, low, doc, start) of pieces of one window: the window's 128-bit digest."""
+    for batch in batches:
+        rows = []
+        for _, doc, at, place, data, x, _ in zip(*(c.to_pylist() for c in batch.columns)):
+            digest = xxhash.xxh3_128_digest(data[place - x : place - x + WINDOW])
+            rows.append((*np.frombuffer(digest, np.int64).tolist(), doc, (at >> 8) + place - x))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["high", "low", "doc", "start"])
 
 
+def repeated_spans(pieces: DataFrame) -> DataFrame:
+    """(doc, start, stop) of the repeated strings among pieces (key, doc, at, place, piece, lo, hi) of one key.
+
+    Rounds of counting and splitting leave groups of at most HOT pieces, which are sorted; a group of one piece
+    is nothing's repeat and goes. A larger group whose windows have nothing left to split by holds one string,
+    which is counted.
+    """
+    spans, work = None, pieces
+    while True:
+        counts = written(work.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
+        small = work.join(counts.filter(F.col("n") <= HOT).select("key"), "key", "left_semi")
+        found = small.repartition("key").sortWithinPartitions("key").select(*pieces.columns).mapInArrow(sort_pieces, "doc long, start long, stop long")
+        spans = found if spans is None else spans.unionByName(found)
+        large = counts.filter(F.col("n") > HOT).select("key")
+        if large.isEmpty():
+            return spans
+        large = written(work.join(large, "key", "left_semi").select(*pieces.columns), "large")
+        windows = written(large.filter("lo = hi").mapInArrow(same_strings, "high long, low long, doc long, start long"), "windows")
+        twice = windows.groupBy("high", "low").count().filter("count > 1").select("high", "low")
+        spans = spans.unionByName(windows.join(twice, ["high", "low"]).select("doc", "start", (F.col("start") + WINDOW).alias("stop")))
+        work = written(large.filter("lo < hi").mapInArrow(refine, pieces.schema), "refined")
+
+
 def cut_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(anchor, doc, at, place, bytes) of each text's unsettled segments."""
     names = ["anchor", "doc", "at", "place", "piece"]
@@ -352,6 +395,16 @@ def removed(length: int, marks: list[int] | None, spans: list[int] | None) -> np
     return np.cumsum(edges[:-1]) > 0
 
 
+def characters(text: bytes, gone: np.ndarray) -> bytes:
+    """The characters of text no byte of which is gone."""
+    data = np.frombuffer(text, np.uint8)
+    first = (data & 0xC0) != 0x80
+    number = np.cumsum(first) - 1
+    cut = np.zeros(int(number[-1]) + 1 if len(data) else 0, bool)
+    cut[number[gone]] = True
+    return data[~cut[number]].tobytes()
+
+
 def _strip(keep_text: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,11 +418,12 @@ def _strip(keep_text: bool):
                     runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
                 else:
                     kept, runs = text, 0
-                rows.append((len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                whole = characters(text, gone) if keep_text and len(kept) < len(text) else kept
+                rows.append((len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept if keep_text else None, whole.decode() if keep_text else None))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
             computed = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            n = 5 if keep_text else 4
+            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"]
+            n = 6 if keep_text else 4
             others = [x for x in batch.schema.names if x not in ("doc", "text", "marks", "spans")]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in others), *computed[:n]], names=[*others, *names[:n]])
 
@@ -377,7 +431,7 @@ def _strip(keep_text: bool):
 
 
 def suffix_dedup(docs: DataFrame, text: str = "text", columns: tuple[str, ...] = ("doc_id",), keep_text: bool = False) -> DataFrame:
-    """The given columns of docs with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining bytes).
+    """The given columns of docs with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining bytes) and kept_text (the characters that remain whole).
 
     Removed is every byte inside a WINDOW-byte string that starts at another place too, in the same text or
     another, as the texts were given. Null and empty texts and those shorter than a window lose nothing.
@@ -390,23 +444,15 @@ def suffix_dedup(docs: DataFrame, text: str = "text", columns: tuple[str, ...] =
     listed = rows.select("doc", "text").mapInArrow(list_segments, "doc long, at long, anchor long, content long")
     listed = listed.repartitionByRange("anchor", "content", "doc", "at").sortWithinPartitions("anchor", "content", "doc", "at")
     settled = written(listed.mapInArrow(settle, "doc long, mark long, anchor long"), "segments")
-    unsettled = settled.filter(F.col("anchor").isNotNull()).select("anchor")
-    hot = written(unsettled.groupBy("anchor").count().filter(F.col("count") > HOT).select(F.col("anchor").alias("hot")), "hot")
     marks = settled.groupBy("doc").agg(F.collect_list("mark").alias("marks"))
     with_marks = rows.join(marks.hint("shuffle_hash"), "doc", "left")
     pieces = written(with_marks.mapInArrow(cut_pieces, "anchor long, doc long, at long, place int, piece binary"), "pieces")
-    cool = pieces
-    if not hot.isEmpty():
-        cool = pieces.join(hot, pieces["anchor"] == hot["hot"], "left_anti")
-    spans = cool.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort_pieces, "doc long, start long, stop long")
-    if not hot.isEmpty():
-        windows = pieces.join(hot, pieces["anchor"] == hot["hot"], "left_semi").mapInArrow(hash_windows, "high long, low long, doc long, start long")
-        twice = windows.groupBy("high", "low").count().filter("count > 1").select("high", "low")
-        spans = spans.unionByName(windows.join(twice, ["high", "low"]).select("doc", "start", (F.col("start") + WINDOW).alias("stop")))
+    whole = pieces.select(F.col("anchor").alias("key"), "doc", "at", "place", "piece", F.lit(0).alias("lo"), F.lit(WINDOW - GRAM).alias("hi"))
+    spans = repeated_spans(whole)
     spans = spans.groupBy("doc").agg(F.flatten(F.collect_list(F.array("start", "stop"))).alias("spans"))
     both = with_marks.join(spans.hint("shuffle_hash"), "doc", "left")
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"c_{i} {kinds[c]}" for i, c in enumerate(columns)) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    schema = ", ".join(f"c_{i} {kinds[c]}" for i, c in enumerate(columns)) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string" * keep_text
     out = both.mapInArrow(_strip(keep_text), schema)
     return out.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(columns)], *out.columns[len(columns) :])
 
