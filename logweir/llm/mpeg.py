@@ -10,7 +10,8 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import cache
+from dataclasses import dataclass
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +19,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from logweir.llm.common import text_bytes
+from logweir.llm.common import text_bytes, written
 
 UNIT = 64
-#: Fixed values of the format: kbit/s by index for MPEG-1 Layer III, Hz by index, samples a frame.
-BITRATES = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+#: Fixed values of the format: kbit/s by (version is 1, layer) and index, Hz by index (halved for MPEG-2, quartered for 2.5).
+KBITS = {
+    (True, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
+    (True, 2): (0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384),
+    (True, 3): (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320),
+    (False, 1): (0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256),
+    (False, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+    (False, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+}
+BITRATES = KBITS[True, 3]
 RATES = (44100, 48000, 32000)
-SAMPLES = 1152
+#: Fields of an ID3v1 tag: name, first byte, bytes.
+ID3V1 = (("title", 3, 30), ("artist", 33, 30), ("album", 63, 30), ("year", 93, 4), ("comment", 97, 30))
+#: Bytes of streams in one batch.
+MOST_BYTES = 64 << 20
 HEAD = 4 + 2 + 17
 RATE = 48000
 
@@ -96,74 +108,134 @@ def write(data: bytes) -> bytes:
     return b"ID3\x04\0\0" + syncsafe(len(tag)) + tag + (head + table).ljust(first, b"\0") + b"".join(parts)
 
 
-def header_at(data: bytes, at: int) -> tuple[int, int, int, bool, int] | None:
-    """(size, bitrate, rate, has checksum, side information bytes) of the frame header there, if it is one."""
-    if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xFE != 0xFA:
+@dataclass(frozen=True)
+class Header:
+    """What the four bytes before a frame say. `side` is the length of Layer III's side information, `alone` whether there is one channel."""
+
+    size: int
+    kbit: int
+    rate: int
+    samples: int
+    layer: int
+    version: float
+    checksum: bool
+    side: int
+    alone: bool
+
+
+def header_at(data: bytes, at: int) -> Header | None:
+    """The frame header there, if it is one: MPEG-1, 2 or 2.5, Layer I, II or III. Free bitrates are not read."""
+    if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xE0 != 0xE0:
         return None
-    bitrate, rate = data[at + 2] >> 4, data[at + 2] >> 2 & 3
-    if bitrate in (0, 15) or rate == 3:
+    return _header(data[at + 1], data[at + 2], data[at + 3] >> 6)
+
+
+@lru_cache(4096)
+def _header(one: int, two: int, mode: int) -> Header | None:
+    version, layer = {3: 1, 2: 2, 0: 2.5}.get(one >> 3 & 3), 4 - (one >> 1 & 3)
+    index, which, padding = two >> 4, two >> 2 & 3, two >> 1 & 1
+    if version is None or layer == 4 or index in (0, 15) or which == 3:
         return None
-    size = frame_size(BITRATES[bitrate], RATES[rate], data[at + 2] >> 1 & 1)
-    return size, BITRATES[bitrate], RATES[rate], not data[at + 1] & 1, 17 if data[at + 3] >> 6 == 3 else 32
+    kbit, rate = KBITS[version == 1, layer][index], RATES[which] >> {1: 0, 2: 1, 2.5: 2}[version]
+    samples = 384 if layer == 1 else 576 if layer == 3 and version != 1 else 1152
+    size = (12 * kbit * 1000 // rate + padding) * 4 if layer == 1 else samples // 8 * kbit * 1000 // rate + padding
+    alone = mode == 3
+    side = 0 if layer != 3 else (17 if alone else 32) if version == 1 else (9 if alone else 17)
+    return Header(size, kbit, rate, samples, layer, version, not one & 1, side, alone)
+
+
+def read_tags(data: bytes) -> tuple[dict[str, str], int]:
+    """ID3v2 text frames at the front and ID3v1 fields at the end, and where the audio may begin."""
+    tags, begin = {}, 0
+    if data[-128:-125] == b"TAG":
+        for name, first, n in ID3V1:
+            value = data[len(data) - 128 + first :][:n].split(b"\0")[0].decode("latin-1").strip()
+            if value:
+                tags[name] = value
+    if data[:3] == b"ID3" and len(data) >= 10:
+        number = lambda part, bits: sum((b & (1 << bits) - 1) << bits * k for k, b in enumerate(reversed(part)))
+        begin = 10 + number(data[6:10], 7)
+        i = 10
+        while i + 10 <= min(begin, len(data)) and data[i : i + 4].strip(b"\0"):
+            n = number(data[i + 4 : i + 8], 7 if data[3] >= 4 else 8)
+            name, body = data[i : i + 4].decode("latin-1"), data[i + 10 : i + 10 + n]
+            if name[0] == "T" and body:
+                text = body[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[body[0] & 3], "replace")
+                first, _, rest = text.partition("\0")
+                tags[first if name == "TXXX" else name] = rest if name == "TXXX" else first
+            i += 10 + n
+    return tags, begin
+
+
+def read_table(data: bytes, at: int, head: Header) -> dict | None:
+    """The variable-bitrate table in the frame at `at`, if it has one: Xing or Info, with an encoder's delay and padding, or VBRI."""
+    number = lambda i, n: int.from_bytes(data[i : i + n], "big")
+    i = at + 4 + head.side
+    if data[i : i + 4] in (b"Xing", b"Info"):
+        found, flags = {"kind": data[i : i + 4].decode()}, number(i + 4, 4)
+        i += 8
+        for bit, name, n in ((1, "frames", 4), (2, "bytes", 4), (4, "toc", 100), (8, "quality", 4)):
+            if flags & bit:
+                found[name] = data[i : i + n] if name == "toc" else number(i, n)
+                i += n
+        if data[i : i + 4].strip(b"\0") and i + 24 <= at + head.size:
+            found["encoder"] = data[i : i + 9].rstrip(b"\0").decode("latin-1")
+            found["delay"], found["padding"] = number(i + 21, 3) >> 12, number(i + 21, 3) & 0xFFF
+        return found
+    i = at + 36
+    if data[i : i + 4] == b"VBRI":
+        entries, scale, width, every = (number(i + k, 2) for k in (18, 20, 22, 24))
+        table = [number(i + 26 + k * width, width) * scale for k in range(entries)]
+        return {"kind": "VBRI", "delay": number(i + 6, 2), "quality": number(i + 8, 2), "bytes": number(i + 10, 4), "frames": number(i + 14, 4), "frames_per_entry": every, "toc": table}
+    return None
 
 
 def parse(data: bytes) -> dict:
     """Tags, table, frames, payload and faults of a stream.
 
-    Bytes that are no frame are skipped until a header that another header or the end of the data follows.
-    A frame whose checksum is wrong is counted and its main data is left out.
+    Bytes that are no frame are skipped until a header that another header, a tag or the end of the data
+    follows. Checksums of Layer III and Layer I are verified; those of Layer II, which cover bits that only its
+    allocation tables tell, are counted as unverified. A frame whose checksum is wrong is counted and its main data is left out.
     """
-    at, tags = 0, {}
-    if data[:3] == b"ID3" and len(data) >= 10:
-        end = at = 10 + sum((b & 0x7F) << s for b, s in zip(data[6:10], (21, 14, 7, 0)))
-        i = 10
-        while i + 10 <= min(end, len(data)) and data[i : i + 4].strip(b"\0"):
-            n = sum((b & 0x7F) << s for b, s in zip(data[i + 4 : i + 8], (21, 14, 7, 0)))
-            if data[i : i + 4] == b"TXXX":
-                name, _, value = data[i + 11 : i + 10 + n].partition(b"\0")
-                tags[name.decode(errors="replace")] = value.decode(errors="replace")
-            i += 10 + n
-    found = {"tags": tags, "vbr": None, "skipped": 0, "bad_checksums": 0, "frames": 0}
+    tags, at = read_tags(data)
+    found = {"tags": tags, "vbr": None, "skipped": 0, "bad_checksums": 0, "unverified": 0, "frames": 0}
     offsets, payload, samples_by_rate, bits = [], [], {}, 0
     view = np.frombuffer(data, np.uint8)
-    while at < len(data):
+    end = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
+    while at < end:
         head = header_at(data, at)
-        if head is None or at + head[0] > len(data) or (at + head[0] < len(data) and header_at(data, at + head[0]) is None and data[at + head[0] : at + head[0] + 3] != b"TAG"):
-            beyond = data.find(b"\xff", at + 1)
-            beyond = len(data) if beyond < 0 else beyond
+        beyond = at + head.size if head else at
+        if head is None or beyond > end or (beyond < end and header_at(data, beyond) is None):
+            beyond = data.find(b"\xff", at + 1, end)
+            beyond = end if beyond < 0 else beyond
             found["skipped"] += beyond - at
             at = beyond
             continue
-        size, bitrate, rate, has_checksum, side = head
-        table = at + 4 + side
-        if not offsets and found["vbr"] is None and data[table : table + 4] in (b"Xing", b"Info"):
-            flags, i = int.from_bytes(data[table + 4 : table + 8], "big"), table + 8
-            vbr = {"kind": data[table : table + 4].decode()}
-            for bit, name, n in ((1, "frames", 4), (2, "bytes", 4), (4, "toc", 100)):
-                if flags & bit:
-                    vbr[name] = data[i : i + n] if n == 100 else int.from_bytes(data[i : i + n], "big")
-                    i += n
-            found["vbr"], found["audio_start"] = vbr, at
-            at += size
+        if not offsets and found["vbr"] is None and (table := read_table(data, at, head)):
+            found["vbr"], found["audio_start"] = table, at
+            at = beyond
             continue
-        run = (len(data) - at) // size
+        size = head.size
+        run = (end - at) // size
         rows = view[at : at + run * size].reshape(run, size)
         same = (rows[:, :4] == rows[0, :4]).all(axis=1)
         run = run if same.all() else int(np.argmin(same))
         rows = rows[:run]
         offsets.append(at + size * np.arange(run))
-        samples_by_rate[rate] = samples_by_rate.get(rate, 0) + run * SAMPLES
-        bits += run * bitrate
-        start = 6 if has_checksum else 4
-        covered = rows[:, start : start + side]
-        if side == 17:
-            wide = covered.astype(np.int64)
+        samples_by_rate[head.rate] = samples_by_rate.get(head.rate, 0) + run * head.samples
+        bits += run * head.kbit
+        start = 6 if head.checksum else 4
+        side = head.side
+        main = np.full(run, (size - start - side) * 8)
+        if side == 17 and head.version == 1:
+            wide = rows[:, start : start + side].astype(np.int64)
             main = ((wide[:, 2] & 0x3F) << 6 | wide[:, 3] >> 2) + ((wide[:, 9] & 7) << 9 | wide[:, 10] << 1 | wide[:, 11] >> 7)
-        else:
-            main = np.full(run, (size - start - side) * 8)
         good = np.ones(run, bool)
-        if has_checksum:
-            keys = np.concatenate([rows[:, 2:4], covered], axis=1)
+        if head.checksum and head.layer == 2:
+            found["unverified"] += run
+        elif head.checksum:
+            covered = side if head.layer == 3 else 16 if head.alone else 32
+            keys = np.concatenate([rows[:, 2:4], rows[:, start : start + covered]], axis=1)
             if (keys == keys[0]).all():
                 wanted = np.full(run, _checked(keys[0].tobytes()))
             else:
@@ -195,8 +267,14 @@ def with_media(docs: DataFrame, text: str = "text", media: str = "media") -> Dat
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            streams = [write(b) for b in text_bytes(batch.column(text))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(streams, pa.large_binary()).cast(pa.binary())], names=[*batch.schema.names, media])
+            # few enough rows at a time for 32-bit offsets
+            lo, held, streams = 0, 0, []
+            for i, b in enumerate(text_bytes(batch.column(text))):
+                streams.append(write(b))
+                held += len(streams[-1])
+                if held > MOST_BYTES or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(lo, len(streams)).columns, pa.array(streams, pa.binary())], names=[*batch.schema.names, media])
+                    lo, held, streams = i + 1, 0, []
 
     docs = docs.drop(media)
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(media, BinaryType())]))
@@ -215,11 +293,10 @@ def probe(docs: DataFrame, key: str = "doc_id", media: str = "media") -> DataFra
                 data = data or b""
                 x = parse(data)
                 pay, off, vbr = x["payload"], x["offsets"].astype("<i8"), x["vbr"] or {}
-                seeks = off[:: 1000 // 24].tolist()
                 exact = vbr.get("frames") == x["frames"] and vbr.get("bytes") == len(data) - x.get("audio_start", 0)
                 feature = f"frames={x['frames']};us={x['duration_us']};kbps={x['kbit'] / max(1, x['frames']):.3f};table={'ok' if exact else 'bad'};crc_bad={x['bad_checksums']};skipped={x['skipped']};seek={zlib.crc32(off.tobytes()):08x}"
                 n = x["tags"].get("n_bytes", "")
-                rows.append((int(n) if n.isdigit() else len(pay), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, x["duration_us"], seeks))
+                rows.append((int(n) if n.isdigit() else len(pay), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, x["duration_us"], off))
             names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_us", "seek_offsets"]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", *names])
@@ -229,5 +306,6 @@ def probe(docs: DataFrame, key: str = "doc_id", media: str = "media") -> DataFra
 
 
 def op9_mpeg(spark, sf_dir: str) -> DataFrame:
+    """Streams are written to a table in the shared folder, with their seek offsets computed from what is read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return probe(with_media(docs)).drop("seek_offsets")
+    return probe(written(with_media(docs).select("doc_id", "media"), "media"))
