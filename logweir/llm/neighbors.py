@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweir.llm.common import components, cut, local_forest
+from logweir.llm.common import components, cut, local_forest, written
 
 #: Vectors in a cell on average, and members or asking vectors compared in one task at most on average.
 SHARD, BLOCK = 1000, 6000
@@ -72,26 +72,38 @@ def _usable(vector: str) -> "F.Column":
 def near_duplicates(rows: DataFrame, threshold: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row: vectors linked at cosine >= threshold. No link is missed.
 
+    Vectors of different lengths have no cosine and are not linked; each length is compared on its own. Rows
+    without a key, null vectors, and those of null, non-finite or only zero components have no links and stay
+    alone. Rows with one key link with each other like any others. component_id is the smallest key, so ties
+    cannot arise. An empty table gives no rows; further columns are left out.
+    """
+    table = rows.select(F.col(key).alias("vec_id"), F.col(vector).alias("v"))
+    usable = table.filter(_usable("v") & F.col("vec_id").isNotNull())
+    alone = table.filter(~_usable("v") | F.col("vec_id").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    found = alone
+    for (length,) in sorted(usable.select(F.size("v")).distinct().collect()):  # one row a length
+        found = found.unionByName(_linked(usable.filter(F.size("v") == length), threshold))
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _linked(usable: DataFrame, threshold: float) -> DataFrame:
+    """(vec_id, n_links, component_id) of rows (vec_id, v) of one length.
+
     Equal vectors are one node with a count, so copies cost one row. Nodes belong to the cell of the nearest
     centre, and there to a ring by their angle to it. Each node is compared, in double precision, with all
     members of every ring that bounds do not rule out (reach); rings that lie wholly within the threshold
     are counted without being compared, which keeps tight groups of any size cheap. Rings and their askers
     are dealt to tasks in blocks; only counts and a forest of links leave a task. Where vectors fill all
     directions evenly, bounds rule out less and the work grows with the square of their number.
-
-    Null vectors, and those of null, non-finite or only zero components, have no links and stay alone.
-    Repeated rows link with each other; component_id is the smallest key, so ties cannot arise. Vectors must be
-    of one length. An empty table gives no rows; further columns are left out.
     """
-    table = rows.select(F.col(key).alias("vec_id"), F.col(vector).alias("v"))
-    usable = table.filter(_usable("v"))
-    nodes = cut(usable.groupBy("v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")))
+    nodes = cut(usable.groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     total = nodes.count()
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").toPandas()["v"]
     k = max(1, min(MOST_CENTRES, math.ceil(total / SHARD), len(sample)))
     c = centres(unit(np.stack(sample.to_list())), k) if total else np.zeros((1, 1))
     widest = math.acos(min(1.0, threshold)) or 1.0
-    kind, vectors = dict(nodes.dtypes)["node"], dict(nodes.dtypes)["v"]
+    kind, vectors = "long", dict(nodes.dtypes)["v"]
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,32 +183,39 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, key: str = "vec_id
     found = cut(whole.unionByName(compared))
     roots = components(found.filter("a <> b").select("a", "b"))
     counted = found.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
-    named = nodes.join(counted, "node", "left").join(roots, "node", "left")
-    named = named.select("v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
-    linked = usable.join(named, "v").select("vec_id", "n_links", "component_id")
-    alone = table.filter(~_usable("v")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    named = nodes.join(counted, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(names, "root").select("v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    return usable.join(named, "v").select("vec_id", "n_links", "component_id")
 
 
-def audit(rows: DataFrame, found: DataFrame, threshold: float = 0.95, every: int = 100, most: int = 1000, key: str = "vec_id", vector: str = "embedding") -> float:
-    """Share of the links of the audited rows that were found: up to `most` rows whose id is divisible by `every`, against all rows."""
+def audit(rows: DataFrame, found: DataFrame, threshold: float = 0.95, most: int = 1000, key: str = "vec_id", vector: str = "embedding") -> float:
+    """Share of the links of a bounded sample of rows (`most`, by hash of the key) that were found, against a comparison with all rows. Rows whose keys are repeated are not asked."""
     usable = rows.filter(_usable(vector)).select(F.col(key).alias("vec_id"), F.col(vector).alias("v"))
-    asked = usable.filter(F.col("vec_id") % every == 0).orderBy(F.xxhash64("vec_id")).limit(most).toPandas()
+    asked = usable.groupBy("vec_id").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n")).filter("n = 1 and vec_id is not null")
+    asked = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toPandas()
     if not len(asked):
         return 1.0
-    q, ids = unit(np.stack(asked["v"].to_list())), asked["vec_id"].to_numpy()
+    by_length = {n: (own["vec_id"].to_numpy(), unit(np.stack(own["v"].to_list()))) for n, own in asked.groupby(asked["v"].map(len))}
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(q), np.int64)
+        total = {n: np.zeros(len(ids), np.int64) for n, (ids, _) in by_length.items()}
         for batch in batches:
-            if batch.num_rows:
-                total += (q @ unit(np.stack(batch.column(1).to_numpy(zero_copy_only=False))).T >= threshold).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["vec_id", "n"])
-
-    true = usable.mapInArrow(count, "vec_id long, n long").groupBy("vec_id").agg((F.sum("n") - 1).alias("n"))
+            column = batch.column(1).to_numpy(zero_copy_only=False)
+            lengths = np.array([len(v) for v in column], np.int64)
+            for n, (_, q) in by_length.items():
+                if (lengths == n).any():
+                    total[n] += (q @ unit(np.stack(column[lengths == n])).T >= threshold).sum(axis=1)
+        for n, (ids, _) in by_length.items():
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[n])], names=["vec_id", "n"])
+
+    true = usable.mapInArrow(count, f"vec_id {dict(usable.dtypes)['vec_id']}, n long").groupBy("vec_id").agg((F.sum("n") - 1).alias("n"))
     both = true.join(found, "vec_id").agg(F.sum("n"), F.sum(F.least("n", "n_links"))).first()
     return both[1] / both[0] if both[0] else 1.0
 
 
 def op3_graph(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """All rows with audit_recall, the share of the audited rows' links that were found."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = written(near_duplicates(rows), "neighbours")
+    return found.withColumn("audit_recall", F.lit(float(audit(rows, found))))
