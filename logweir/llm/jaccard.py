@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweir.llm.common import components, text_bytes, written
-from logweir.llm.simhash import SEED
+from logweir.llm.simhash import SEED, grouped, simhash_groups
 
 #: Least similarity, in fifths: 4 is 0.8. Whole numbers, so that no rounding decides.
 FIFTHS = 4
 #: One text in so many is looked at for shingles of many texts; those of at least COMMON of them go last in the order.
 SAMPLED, COMMON, MOST_COMMON = 32, 3, 500_000
 #: Pairs looked at, and texts whose sets are held, in one step.
-STEP, TEXTS = 2_000_000, 256
+STEP, TEXTS = 250_000, 128
 
 
 def shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -89,8 +89,11 @@ def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             good = (root[x] != root[y]) & fits(n[x], n[y], place[x], place[y])
             a, b = fp[x[good]], fp[y[good]]
             if len(a):
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+                a, b = np.minimum(a, b), np.maximum(a, b)
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first])], names=["a", "b"])
             lo = hi
 
 
@@ -117,7 +120,7 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, fingerprint, component_id): documents linked by a Jaccard similarity of 0.8 or more of their sets of shingles.
+    """(doc_id, hash, fp, root, component_id): documents linked by a Jaccard similarity of 0.8 or more of their sets of shingles.
 
     No pair is missed: two such sets share a shingle within their first fifths in any common order (prefix
     filter), and pairs that share one are verified on their whole texts, with 64-bit hashes of shingles, if
@@ -130,7 +133,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, text: str = "text", key: s
     unless all of its keys are null. An empty table gives no rows, and further columns are left out.
     """
     table = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+    hashed = F.xxhash64("text")
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
@@ -184,9 +187,21 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, text: str = "text", key: s
     roots = components(links)
     known = lists.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", "place", F.coalesce("root", "fp").alias("root"))
     links = links.unionByName(similar(ordered(known).mapInArrow(_pairs, pair).distinct(), texts, shingle))
-    roots = components(links)
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "root").select("fp", "component_id")
-    return rows.select("doc_id", "fp").join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(rows, links)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, hash, root): documents linked by SimHash fingerprints at `threshold` or fewer bits, or by a Jaccard similarity of 0.8 or more.
+
+    Fingerprints alone find few of the near copies of that similarity, whose fingerprints differ in seven bits
+    as a rule; the exact join finds the rest. Groups of the two kinds that share a document are one.
+    """
+    one = simhash_groups(docs, shingle, threshold, text, key)
+    one = written(one.select("doc_id", "hash", F.col("root").alias("first")), "fingerprint_groups")
+    two = written(jaccard_groups(docs, shingle, text, key).select("hash", F.col("root").alias("second")).distinct(), "jaccard_groups")
+    # equal texts are in one group of either kind, so a text's hash ties the two
+    nodes = written(one.select("hash", "first").distinct().join(two, "hash"), "tied_groups")
+    links = nodes.select(F.col("first").alias("a"), F.xxhash64(F.lit("jaccard"), "second").alias("b")).distinct()
+    several = links.groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("b")
+    roots = components(links.join(several, "b", "left_semi")).withColumnRenamed("node", "first")
+    return one.join(roots, "first", "left").select("doc_id", "hash", F.coalesce("root", "first").alias("root"))

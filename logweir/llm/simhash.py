@@ -9,16 +9,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweir.llm.common import components, cut, local_forest, text_bytes
+from logweir.llm.common import components, cut, fresh, local_forest, text_bytes
 
 SEED = 42
 #: The binary Golay code: 23 bits, 2**12 words, covering radius 3; its generator polynomial is a fixed value.
 LENGTH, CHECKS, RADIUS, GENERATOR = 23, 11, 3, 0b101011100011
 MASK = (1 << LENGTH) - 1
-#: An anchor with more fingerprints at home than this is compared in several parts.
+#: Fingerprints in a block, on average: an anchor with more is dealt to several tasks.
 HOT = 20_000
 #: Pairs looked at in one step.
 STEP = 4_000_000
@@ -43,14 +43,15 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, fp long): the fingerprint of each whole text as a signed number."""
+    """(doc_id, hash, fp): the fingerprint of each whole text as a signed number, and a hash of the text that tells texts of one key apart."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(b, shingle) for b in text_bytes(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprint(b, shingle) for b in text_bytes(batch.column(2))], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "hash", "fp"])
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[key]}, fp long")
+    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)[key]}, hash long, fp long")
 
 
 def syndrome(words: np.ndarray) -> np.ndarray:
@@ -121,9 +122,9 @@ def links_at_anchors(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, thres
 def similar_fingerprints(distinct: DataFrame, threshold: int) -> DataFrame:
     """(a, b): links between distinct fingerprints (fp) at `threshold` or fewer bits, enough to connect all that are linked.
 
-    Rows are dealt by anchor. An anchor with more than HOT fingerprints at home is dealt to several parts:
-    each gets all rows at home and its share of the others. Each part is read in order, holding the
-    fingerprints at home of one anchor only.
+    Rows are dealt by anchor. The fingerprints at home of one anchor are cut into blocks of HOT on average, and all
+    its rows into parts of as many; each task gets a block and a part, so it holds HOT fingerprints on average
+    whatever the anchor's size. An anchor of one block and one part is one task's.
     """
 
     def replicate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,59 +136,84 @@ def similar_fingerprints(distinct: DataFrame, threshold: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[row]), pa.array(home)], names=["anchor", "fp", "home"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_anchor, kept = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # the fingerprints at home of the last group are carried over; groups are numbered as they come
+        last_key, number, kept = None, -1, np.zeros(0, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            anchor = np.concatenate([kept_anchor, batch.column(0).to_numpy()])
-            fp = np.concatenate([kept, batch.column(1).to_numpy()])
-            home = np.concatenate([np.ones(len(kept), bool), batch.column(2).to_numpy(zero_copy_only=False)])
-            a, b = links_at_anchors(anchor, fp, home, threshold)
+            keys = np.stack([c.to_numpy() for c in batch.columns[:-2]], axis=1)
+            starts = np.concatenate([[last_key is None or (keys[0] != last_key).any()], (keys[1:] != keys[:-1]).any(axis=1)])
+            group = number + np.cumsum(starts)
+            fp = np.concatenate([kept, batch.column(batch.num_columns - 2).to_numpy()])
+            home = np.concatenate([np.ones(len(kept), bool), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)])
+            group = np.concatenate([np.full(len(kept), number), group])
+            a, b = links_at_anchors(group, fp, home, threshold)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-            last = home & (anchor == anchor[-1])
-            kept_anchor, kept = anchor[last], fp[last]
+            last = home & (group == group[-1])
+            last_key, number, kept = keys[-1], int(group[-1]), fp[last]
 
     rows = distinct.select("fp").mapInArrow(replicate, "anchor long, fp long, home boolean")
-    at_home = distinct.select("fp").mapInArrow(lambda x: (b.filter(b.column(2)) for b in replicate(x)), "anchor long, fp long, home boolean")
-    hot = cut(at_home.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor", F.ceil(F.col("count") / HOT).cast("int").alias("parts")))
+    sizes = rows.groupBy("anchor").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("n")).filter((F.col("homes") > 0) & (F.col("n") > HOT))
+    cuts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / HOT)).cast("int")
+    hot = cut(sizes.select("anchor", cuts("homes").alias("blocks"), cuts("n").alias("parts")))
     keys = ["anchor"]
     if not hot.isEmpty():
-        rows = rows.join(hot, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        every = F.when(F.col("home"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")))
-        rows = rows.withColumn("part", F.explode(every))
-        keys = ["anchor", "part"]
+        one = lambda c: F.coalesce(F.col(c), F.lit(1))
+        own = lambda c, seed: F.pmod(F.xxhash64("fp", F.lit(seed)), one(c)).cast("int")
+        every = lambda c: F.sequence(F.lit(0), one(c) - 1)
+        rows = rows.join(hot, "anchor", "left")
+        stored = rows.filter("home").select("anchor", "fp", "home", own("blocks", 1).alias("block"), F.explode(every("parts")).alias("part"))
+        asking = rows.filter("blocks is not null or not home").select("anchor", "fp", F.lit(False).alias("home"), F.explode(every("blocks")).alias("block"), own("parts", 2).alias("part"))
+        rows = stored.unionByName(asking)
+        keys = ["anchor", "block", "part"]
     rows = rows.repartition(*keys).sortWithinPartitions(*keys, F.col("home").desc())
-    return rows.select("anchor", "fp", "home").mapInArrow(compare, "a long, b long")
+    return rows.select(*keys, "fp", "home").mapInArrow(compare, "a long, b long")
+
+
+def grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows (doc_id, hash, fp) with root, the smallest fingerprint reachable, and component_id, the smallest doc_id of that root."""
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    named = distinct.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(named.join(names, "root").select("fp", "root", "component_id"), "fp")
+
+
+def hexadecimal(fp: str) -> "F.Column":
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 5, threshold: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, fingerprint, component_id): documents linked by fingerprints at `threshold` or fewer differing bits.
+    """(doc_id, fingerprint, component_id, root, hash): documents linked by fingerprints at `threshold` or fewer differing bits.
 
-    component_id is the smallest doc_id that links reach. Equal fingerprints are one node, so a group of
+    component_id is the smallest doc_id that links reach; root tells groups apart where documents share a key, and hash
+    the texts of a key. Equal fingerprints are one node, so a group of
     copies of any size costs one row. Null and empty texts have fingerprint zero and link like any other.
     Texts of fewer words than a shingle are one shingle. Repeated rows share a component; a null key never
     names a component unless all of its keys are null. An empty table gives no rows, further columns of docs
     are left out, and a very long text costs memory in proportion to its own length.
     """
     rows = cut(fingerprints(docs, shingle, text, key))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    links = similar_fingerprints(distinct, threshold)
-    roots = components(links)
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    links = similar_fingerprints(cut(rows.select("fp").distinct()), threshold)
+    return grouped(rows, links).select("doc_id", hexadecimal("fp").alias("fingerprint"), "component_id", "root", "hash")
 
 
-def first_of_each_group(docs: DataFrame, shingle: int = 5, threshold: int = 2, groups: DataFrame | None = None) -> DataFrame:
-    """The rows of docs but for those of a group that are not its smallest doc_id. Of repeated rows one stays; rows without a key stay."""
-    groups = simhash_groups(docs, shingle, threshold) if groups is None else groups
-    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
-    return named.withColumn("_nth_row", nth).filter("_nth_row = 1").drop("_nth_row").unionByName(docs.filter("doc_id is null"))
+def first_of_each_group(docs: DataFrame, groups: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs of smallest key of each group, given as (doc_id, hash, root).
+
+    Documents are told apart by key and text: where one key has several texts, each is a document of its own
+    group. Of a group's documents with the smallest key the one of smallest hash stays, and of repeated rows
+    one. Rows without a key stay. Columns of docs may have any names.
+    """
+    kept = groups.filter("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
+    one, two = fresh("kept_key", docs.columns), fresh("kept_hash", docs.columns)
+    kept = kept.select(F.col("first.doc_id").alias(one), F.col("first.hash").alias(two))
+    own = fresh("hash", [*docs.columns, one, two])
+    rows = docs.filter(F.col(key).isNotNull()).withColumn(own, F.xxhash64(F.col(text)))
+    rows = rows.join(kept, (F.col(key) == F.col(one)) & (F.col(own) == F.col(two)), "left_semi").dropDuplicates([key, own])
+    return rows.select(*docs.columns).unionByName(docs.filter(F.col(key).isNull()))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
-    return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, threshold=2)
+    groups = simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, threshold=2)
+    return groups.select("doc_id", "fingerprint", "component_id")
