@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from logweir.llm import bpe, common, dac, langid, licenses, mixing, mpeg, neighbors, pretoken, simhash, suffix, toxicity
+from logweir.llm import bpe, common, dac, jaccard, langid, licenses, mixing, mpeg, neighbors, pretoken, simhash, suffix, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators use inside.
@@ -43,7 +43,7 @@ OPERATORS = {
     "suffix": lambda d: suffix.suffix_dedup(d),
     "bpe": lambda d: bpe.encode_documents(d, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ids=True),
     "simhash": lambda d: simhash.simhash_groups(d, 3),
-    "simhash_first": lambda d: simhash.first_of_each_group(d),
+    "simhash_first": lambda d: simhash.first_of_each_group(d, jaccard.near_duplicates(d)),
     "mixing": lambda d: mixing.pareto_mix(d),
     "mixed": lambda d: mixing.mixed(d),
     "toxicity": lambda d: toxicity.score(d, ["dogs"], np.array([3.0]), -1.0),
@@ -149,16 +149,44 @@ def test_merge_replay_equals_tiktoken(spark):
         assert g["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
-def test_pieces_of_many_texts_at_once():
+def test_pieces_are_the_librarys_for_all_signs():
+    """Every code point of the first two planes and some beyond: classes are asked from the library, not from a table of this Python."""
+    v = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=v.ranks, special_tokens={})
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    one, two = bpe.Encoder(v, public_tokenizers.PATTERN), dac.PieceIds(public_tokenizers.path("byte_bpe_50k.json"))
+    points = [*range(0x20, 0xD800, 7), *range(0xE000, 0x20000, 7), 0x1C89, 0xA7CB, 0x105C0, 0x2A000, 0x323AF, *range(0x80, 0x100), *pretoken.WHITE_SPACE]
+    texts = [f"a{chr(i)}b 1{chr(i)}2 {chr(i)}! {chr(i)} 's{chr(i)}" for i in points]
+    ids, counts = two.encode(texts, 0)
+    for text, got, own in zip(texts, one.encode(texts), np.split(ids, np.cumsum(counts)[:-1])):
+        assert got.tolist() == reference.encode_ordinary(text)
+        assert own.tolist() == [*other.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_pieces_known_by_their_strings():
+    """Thue-Morse words and their complements: equal under any polynomial hash modulo a power of two."""
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [x for n in (1024, 2048, 4096) for x in (word[:n], word[:n].translate(str.maketrans("ab", "ba")))]
+    encoder, reference = dac.PieceIds(public_tokenizers.path("byte_bpe_50k.json")), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids, counts = encoder.encode(texts, 0)
+    for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+        assert own.tolist() == [*reference.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_tables_emptied_between_blocks(monkeypatch):
+    monkeypatch.setattr(dac, "MOST_PIECES", 20)
+    monkeypatch.setattr(bpe, "KEPT", 20)
     r = random.Random(6)
-    texts = ["".join(r.choice(" \n'sab1é!") for _ in range(r.randrange(12))) for _ in range(500)]
-    _, places, number, per_text = pretoken.distinct_pieces(texts)
-    joined = "".join(texts)
-    every = [joined[slice(*places[i])] for i in number]
-    at = 0
-    for t, n in zip(texts, per_text):
-        assert every[at : at + n] == pretoken.pieces(t)
-        at += n
+    v = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    one, two = bpe.Encoder(v, public_tokenizers.PATTERN), dac.PieceIds(public_tokenizers.path("byte_bpe_50k.json"))
+    reference, other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=v.ranks, special_tokens={}), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for _ in range(20):
+        texts = ["".join(r.choice("  \n'sab1é!") for _ in range(r.randrange(30))) for _ in range(20)]
+        ids, counts = two.encode(texts, 0)
+        for text, got, own in zip(texts, one.encode(texts), np.split(ids, np.cumsum(counts)[:-1])):
+            assert got.tolist() == reference.encode_ordinary(text) and own.tolist() == [*other.encode(text, add_special_tokens=False).ids, 0]
 
 
 # 3 ------------------------------------------------------------------------------------------------------------
@@ -180,10 +208,18 @@ def test_neighbors(spark):
     for i in range(n):
         assert got[i]["n_links"] == near[i].sum() - 1 and got[i]["component_id"] == roots.get(i, i) and got[i]["kept"] == (roots.get(i, i) == i)
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(n, n + 5))
-    assert neighbors.audit(df, found, every=10) >= 0.9
+    assert neighbors.audit(df, found) == 1.0
     assert neighbors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_neighbors_of_awkward_rows(spark):
+    """Lengths that differ, keys that are missing or repeated, extra columns."""
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [1.0, 0.01]), (4, []), (None, [1.0, 0.0]), (5, [0.0, 1.0]), (5, [1.0, 0.02]), (6, [0.01, 1.0]), (7, [2.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("node", "ring", "copies", "least", "root")})
+    got = sorted((str(x["vec_id"]), x["n_links"], str(x["component_id"]), x["kept"]) for x in neighbors.near_duplicates(df).collect())
+    assert got == sorted([("1", 2, "1", True), ("3", 2, "1", False), ("5", 2, "1", False), ("5", 1, "5", True), ("6", 1, "5", False), ("2", 1, "2", True), ("7", 1, "2", False), ("4", 0, "4", True), ("None", 0, "None", False)])
+
+
 def test_neighbors_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbors, "BLOCK", 60)
     r = np.random.default_rng(8)
@@ -215,6 +251,14 @@ def test_simhash_links(spark, monkeypatch, hot):
         assert roots.get(f, f) == expected.get(f, f)
 
 
+def test_no_document_goes_because_of_a_shared_key(spark):
+    rows = [(1, "alpha beta gamma delta epsilon zeta eta"), (1, "one two three four five six seven eight"), (2, "alpha beta gamma delta epsilon zeta eta"), (2, "nine ten eleven twelve thirteen fourteen"), (2, "nine ten eleven twelve thirteen fourteen"), (None, "x y z")]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA).withColumns({"kept_key": F.lit(1), "hash": F.lit(2)})
+    kept = simhash.first_of_each_group(df, jaccard.near_duplicates(df))
+    assert kept.columns == df.columns
+    assert sorted((str(x["doc_id"]), x["text"]) for x in kept.collect()) == sorted([("1", rows[0][1]), ("1", rows[1][1]), ("2", rows[3][1]), ("None", "x y z")])
+
+
 def test_fingerprint_by_definition():
     import xxhash
 
@@ -228,6 +272,19 @@ def test_fingerprint_by_definition():
 # 5 ------------------------------------------------------------------------------------------------------------
 
 
+def test_odds_grow_with_size(spark):
+    """Long documents are taken more often than short ones, and those beyond the scale always."""
+    rows = [(i, "w " * (10 if i % 2 else 40), None, "a", None) for i in range(400)] + [(i, "w " * 300, None, "a", None) for i in range(400, 402)] + [(i, "v " * 20, None, "b", None) for i in range(1000, 1100)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    taken = {}
+    for seed in ("one:", "two:", "three:"):
+        for g in mixing.pareto_mix(df, seed=seed).filter("source = 'a'").collect():
+            whole = int(g["target"] // g["source_size"])
+            taken.setdefault(g["size"], []).append(g["copies"] - whole)
+    short, long, huge = (np.mean(taken[n]) for n in (10, 40, 300))
+    assert 0 <= short < long <= huge == 1 and (long == 1 or 2.5 < long / short < 6)
+
+
 def test_mix_meets_targets(spark):
     r = random.Random(10)
     rows = [(i, "w " * r.randrange(1, 60), None, r.choice(["a"] * 6 + ["b", "c", None]), None) for i in range(600)]
@@ -244,7 +301,7 @@ def test_mix_meets_targets(spark):
     again = mixing.pareto_mix(spark.createDataFrame(rows[::-1], SCHEMA).repartition(7)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     mix = mixing.mixed(spark.createDataFrame(rows, SCHEMA))
-    assert mix.columns == SCHEMA_NAMES and mix.count() == sum(g["copies"] for g in got)
+    assert mix.columns == SCHEMA_NAMES and Counter(x["doc_id"] for x in mix.collect()) == Counter({g["doc_id"]: g["copies"] for g in got if g["copies"]})
 
 
 # 6 ------------------------------------------------------------------------------------------------------------
@@ -307,7 +364,7 @@ def test_token_files(spark, monkeypatch):
     monkeypatch.setattr(dac, "SHARD_TOKENS", 50)
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    assert t.encode("<|endoftext|>", add_special_tokens=False).ids == [50256]
     r = random.Random(13)
     texts = [" ".join(r.choice(["Hello", "été", "it's", "x1", "\n", "<|endoftext|>"]) for _ in range(r.randrange(9))) for _ in range(150)]
     got = dac.encode_to_shards(docs(spark, texts).repartition(5), path).orderBy("doc_id").collect()
@@ -340,14 +397,84 @@ def test_mpeg_round_trip_and_faults():
     assert mpeg.seek(x["offsets"], 48) == x["offsets"][2]
 
 
+def test_mpeg_of_the_query_against_hashlib(spark):
+    texts = ["", None, "abc", "é" * 5000, "x" * 64, "y" * 65, "abc"]
+    got = mpeg.probe(common.written(mpeg.with_media(docs(spark, texts)).select("doc_id", "media"), "media")).orderBy("doc_id").collect()
+    for t, g in zip(texts, got):
+        data = (t or "").encode()
+        pay, media = data.ljust(max(1, -(-len(data) // 64)) * 64, b"\0"), mpeg.write(data)
+        assert (g["n_bytes"], g["payload_bytes"], g["payload_sha256"], g["tail_crc32"]) == (len(data), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:]))
+        assert (g["media_bytes"], g["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        assert g["seek_offsets"] == mpeg.parse(media)["offsets"].tolist() and len(g["seek_offsets"]) * 24_000 == g["duration_us"]
+    assert got[2][1:] == got[6][1:]
+
+
+def test_mpeg_versions_layers_and_tables():
+    for one, two, size, samples, rate in ((0xFF, 0x90, 312, 384, 44100), (0xFD, 0x94, 480, 1152, 48000), (0xFB, 0x90, 417, 1152, 44100), (0xF3, 0x80, 208, 576, 22050), (0xE3, 0x88, 576, 576, 8000)):
+        head = mpeg.header_at(bytes([0xFF, one, two, 0]), 0)
+        assert (head.size, head.samples, head.rate) == (size, samples, rate)
+        stream = bytes([0xFF, one, two, 0]).ljust(size, b"\0") * 5
+        x = mpeg.parse(b"\0\1" + stream + b"TAG" + b"name".ljust(30, b"\0") + bytes(95))
+        assert x["frames"] == 5 and x["samples"] == {rate: 5 * samples} and x["skipped"] == 2 and x["tags"] == {"title": "name"}
+    frame = bytes([0xFF, 0xFB, 0x90, 0]).ljust(417, b"\0")
+    table = bytes([0xFF, 0xFB, 0x90, 0]).ljust(36, b"\0") + b"VBRI\0\1\0\7\0\0" + (2 * 417).to_bytes(4, "big") + (2).to_bytes(4, "big") + bytes([0, 2, 0, 1, 0, 2, 0, 1, 1, 161, 1, 161])
+    x = mpeg.parse(table.ljust(417, b"\0") + 2 * frame)
+    assert x["vbr"]["kind"] == "VBRI" and x["vbr"]["frames"] == x["frames"] == 2 and x["vbr"]["toc"] == [417, 417] and x["vbr"]["delay"] == 7
+    lame = bytes([0xFF, 0xFB, 0x90, 0]).ljust(36, b"\0") + b"Info" + (1).to_bytes(4, "big") + (2).to_bytes(4, "big") + b"LAME3.100" + bytes(12) + (576 << 12 | 1105).to_bytes(3, "big")
+    x = mpeg.parse(lame.ljust(417, b"\0") + 2 * frame)
+    assert (x["vbr"]["encoder"], x["vbr"]["delay"], x["vbr"]["padding"]) == ("LAME3.100", 576, 1105)
+
+
 # 10 -----------------------------------------------------------------------------------------------------------
 
 
 def test_licenses(spark):
-    texts = ["MIT License. And the Apache license", "general  PUBLIC-license mit", "licensed under the apache license version 2.0", "released by the mit license", "mitKlicense", None]
+    texts = [
+        "MIT License. And the Apache license",
+        "general  PUBLIC-license mit",
+        "licensed under the apache license version 2.0",
+        "released by the mit license",
+        "mitKlicense",
+        None,
+        "Licensed under the Apache\n// License, Version 2.0",
+        "x " * 300 + "Redistribution and use in source and binary forms, with or\n# without modification, are permitted" + " y" * 300,
+        licenses.TEMPLATES["mit-text"].replace(" the ", "\n * the "),
+    ]
     got = [tuple(x)[1:] for x in licenses.license_scan(docs(spark, texts)).orderBy("doc_id").collect()]
     assert got[0] == (6, 2, 0, 4, "apache,mit", "apache,mit", 0.5)
     assert got[1][:5] == (4, 1, 0, 0, "gpl")
     assert got[2][5] == "apache,apache-2.0" and got[2][6] == 1.0
     assert got[3][5] == "mit,mit-notice" and got[3][6] == 0.8
     assert got[4][1] == 0 and got[5] == (0, 0, None, None, "", "", 0.0)
+    assert got[6][5] == "apache,apache-2.0" and got[7][5] == "bsd" and got[8][5] == "mit-text" and got[8][6] == 1.0
+
+
+def test_licenses_by_brute_force(spark):
+    """Every block with every template, without filters."""
+    r = random.Random(15)
+    words = sorted({w for t in licenses.TEMPLATES.values() for w in t.split()}) + [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(60):
+        own = [r.choice(words) for _ in range(r.randrange(400))]
+        for label in r.sample(sorted(licenses.TEMPLATES), 2):
+            t = licenses.TEMPLATES[label].split()
+            t = [w for w in t if r.random() < r.choice([0.75, 0.9, 1.0])]
+            at = r.randrange(len(own) + 1)
+            own[at:at] = t
+        texts.append(r.choice([" ", "\n", ", "]).join(own))
+    got = licenses.license_scan(docs(spark, texts)).orderBy("doc_id").collect()
+    several = 0
+    for text, g in zip(texts, got):
+        own, best, labels = text.lower().replace(",", " ").split(), 0, set()
+        for label, t in licenses.TEMPLATES.items():
+            size, step = licenses.LONG if len(t.split()) > licenses.SHORT[1] else licenses.SHORT
+            t = set(t.split())
+            for i in range(0, len(own), step):
+                n = len(t & set(own[i : i + size]))
+                if 5 * n >= 4 * len(t):
+                    labels.add(label)
+                    best = max(best, n / len(t))
+        several += len(labels) > 1
+        base = set(g["base_labels"].split(",")) - {""}
+        assert set(g["labels"].split(",")) - {""} == labels | base and g["score"] == (best or (0.5 if base else 0))
+    assert several > 5
