@@ -19,16 +19,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more."""
-    return simhash.first_of_each_group(docs, groups=jaccard.jaccard_groups(docs, shingle=5))
+    """Keeps the document of smallest doc_id of each group linked by SimHash fingerprints or by a Jaccard similarity of 0.8 or more, of five-word shingles."""
+    return simhash.first_of_each_group(docs, jaccard.near_duplicates(docs, shingle=5))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes every byte within a 200-byte string that occurs more than once. Characters cut in part go too; documents stay, if empty."""
     others = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
     found = suffix.suffix_dedup(docs, columns=others, keep_text=True)
-    text = F.try_validate_utf8("kept")
-    found = found.withColumn("text", F.coalesce(text, F.regexp_replace(F.make_valid_utf8(F.col("kept")), "�", "")))
+    found = found.withColumn("text", F.col("kept_text"))
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
