@@ -29,24 +29,34 @@ def encode_frequency(df: DataFrame, column: str, fitted: DataFrame, name: str) -
     return df.join(side, F.col(column).eqNullSafe(F.col("_value")), "left").drop("_value").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
+#: Categories that are encoded by their frequency in training.
+CATEGORIES = ("auth_type", "logon_type", "auth_orientation")
+
+
+def event_flags() -> dict:
+    """The flags of an event that need nothing but itself."""
+    same = lambda a, b: F.coalesce((F.col(a) == F.col(b)).cast("int"), F.lit(0))
+    return {
+        "is_success": F.col("success").cast("int"),
+        "src_dst_user_same": same("src_user", "dst_user"),
+        "src_dst_computer_same": same("src_computer", "dst_computer"),
+        "domain_crossing": F.coalesce((F.col("src_domain") != F.col("dst_domain")).cast("int"), F.lit(0)),
+    }
+
+
 def event_features(df: DataFrame, train: DataFrame) -> DataFrame:
-    """flags of the event itself and the training frequencies of its categories."""
-    df = df.withColumns(
-        {
-            "is_success": F.col("success").cast("int"),
-            "auth_type_missing": F.col("auth_type_is_null").cast("int"),
-            "logon_type_missing": F.col("logon_type_is_null").cast("int"),
-            "src_is_machine": F.col("src_user_is_machine").cast("int"),
-            "same_user": (F.col("src_user") == F.col("dst_user")).cast("int"),
-            "same_computer": (F.col("src_computer") == F.col("dst_computer")).cast("int"),
-            "crosses_domain": (F.col("src_domain") != F.col("dst_domain")).cast("int"),
-        }
-    )
-    for column, name in (("auth_type", "auth_type_freq"), ("logon_type", "logon_type_freq"), ("auth_orientation", "orientation_freq")):
-        df = encode_frequency(df, column, fit_frequencies(train, column), name)
+    """flags of the event itself and the training frequencies of its categories. The null and machine flags that cleaning made belong to F1 too."""
+    df = df.withColumns(event_flags())
+    for column in CATEGORIES:
+        df = encode_frequency(df, column, fit_frequencies(train, column), f"{column}_freq")
     return df
 
 
+def event_columns() -> list[str]:
+    """All F1 columns: flags made by cleaning, flags made here, frequencies."""
+    return ["src_user_is_machine", *(f"{c}_is_null" for c in CATEGORIES[:2]), *event_flags(), *(f"{c}_freq" for c in CATEGORIES)]
+
+
 # F2 -----------------------------------------------------------------------------------------------------------
 
 
@@ -63,7 +73,7 @@ def history_features(df: DataFrame, entities=("src_user", "dst_computer"), hours
     for entity, h in distinct_for:  # first, while rows are narrow
         if entity in entities and h in hours:
             partner = "src_user" if entity == "dst_computer" else "dst_computer"
-            df = causal.distinct_count(df, entity, partner, h * 3600, f"{entity}_{window_name(h)}_n_distinct")
+            df = causal.distinct_count(df, entity, partner, h * 3600, f"{entity}_{window_name(h)}_n_distinct_dst")
     for entity in entities:
         for h in hours:
             frame, base = causal.before_window(entity, h * 3600), f"{entity}_{window_name(h)}"
@@ -84,6 +94,15 @@ RELATIONS = {
 }
 
 
+#: Entity -> column with its new pairs of the last day.
+NEW_PAIRS = {"src_user": "user_new_host_count_24h", "src_computer": "host_new_user_count_24h"}
+
+
+def rarity_name(relation: str) -> str:
+    """The pair's rarity is taken against all events, the others against those of one entity."""
+    return f"{relation}_rarity" if RELATIONS.get(relation, ([], []))[1] else f"{relation}_global_rarity"
+
+
 def rarity(k: "F.Column", n: "F.Column") -> "F.Column":
     """-ln((k + 1) / (n + 1)): k counts today's earlier events, n only earlier days, so it can be negative."""
     return -F.ln((k + 1) / (n + F.lit(1.0)))
@@ -104,10 +123,10 @@ def novelty_features(df: DataFrame, relations=RELATIONS, base: DataFrame | None
         for i, c in enumerate(condition):
             on = on & F.col(c).eqNullSafe(F.col(f"_c{i}"))
         df = df.join(side, on, "left").drop("_day", *[f"_c{i}" for i in range(len(condition))])
-        df = df.withColumns({f"{name}_is_new": F.col(f"_{name}_is_new").cast("int"), f"{name}_rarity": rarity(F.col(f"_{name}_index"), F.col("_n"))}).drop("_n")
-    df = df.withColumn("days_since_pair", F.coalesce(F.col("_pair_since") / SECONDS_PER_DAY, F.lit(INFINITY)))
-    for entity in ("src_user", "src_computer"):
-        df = causal.rolling_sum(df, entity, SECONDS_PER_DAY, F.col("pair_is_new").cast("bigint"), f"{entity}_1d_new_pairs")
+        df = df.withColumns({f"{name}_is_new": F.col(f"_{name}_is_new").cast("int"), rarity_name(name): rarity(F.col(f"_{name}_index"), F.col("_n"))}).drop("_n")
+    df = df.withColumn("days_since_pair_last_seen", F.coalesce(F.col("_pair_since") / SECONDS_PER_DAY, F.lit(INFINITY)))
+    for entity, name in NEW_PAIRS.items():
+        df = causal.rolling_sum(df, entity, SECONDS_PER_DAY, F.col("pair_is_new").cast("bigint"), name)
     return df.drop(*[f"_{n}_{s}" for n in relations for s in ("index", "since", "is_new")])
 
 
@@ -148,7 +167,7 @@ def temporal_features(df: DataFrame, night: tuple[int, int] = (0, 21_600)) -> Da
     gap = F.col("time") - F.lag("time").over(w)
     chained = F.lag("dst_computer").over(w) == F.col("src_computer")
     return df.withColumns(
-        {"hour_deviation": F.coalesce(deviation, F.lit(0.0)), "hours_since_prev": F.coalesce(gap / 3600, F.lit(INFINITY)), "prev_dst_is_src": F.coalesce(chained, F.lit(False)).cast("int")}
+        {"hour_deviation_from_profile": F.coalesce(deviation, F.lit(0.0)), "hours_since_prev_event_same_user": F.coalesce(gap / 3600, F.lit(INFINITY)), "prev_dst_is_src": F.coalesce(chained, F.lit(False)).cast("int")}
     )
 
 
@@ -157,24 +176,42 @@ def featurize(df: DataFrame, train: DataFrame, night: tuple[int, int] = (0, 21_6
     return temporal_features(novelty_features(event_features(history_features(df), train), base=df), night)
 
 
-#: Columns that models read, and further inputs of the rules.
-MODEL_FEATURES = (
-    "is_success", "auth_type_missing", "logon_type_missing", "src_is_machine", "same_user", "same_computer", "crosses_domain", "auth_type_freq", "logon_type_freq", "orientation_freq",
-    "src_user_1h_n_events", "src_user_1d_n_events", "dst_computer_1h_n_events", "dst_computer_1d_n_events",
-    "pair_is_new", "pair_rarity", "user_src_is_new", "user_src_rarity", "src_dst_rarity", "user_auth_rarity", "src_user_1d_new_pairs", "src_computer_1d_new_pairs",
-    "hour_sin", "hour_cos", "hour_deviation",
-)
-MODEL_INPUTS = ("src_user_1h_n_distinct", "src_user_1h_n_failures", "dst_computer_1h_n_failures", "src_user_1d_failure_ratio", "days_since_pair", "hours_since_prev", "prev_dst_is_src", "user_auth_is_new", "is_night", "src_dst_is_new")
+#: What identifies a stored event, and what rules and floors read of it by name besides features.
+IDENTITY = ("event_id", "time", "day", "is_malicious")
+READ_BY_NAME = ("src_user", "src_computer", "dst_computer", "auth_type", "success")
+
+
+def model_columns() -> list[str]:
+    """The columns that vector models are fitted on, by the rule that makes each family.
+
+    All of F1; the user's events and failure ratio of an hour and a day; newness and rarity of the pair and of
+    the two relations of the source, and new pairs of a day; the three columns on the time of day. Columns
+    that can be infinite are left out.
+    """
+    history = [f"src_user_{window_name(h)}_{x}" for h in (1, 24) for x in ("n_events", "failure_ratio")]
+    novelty = [x for r in ("pair", "user_src", "src_dst") for x in (f"{r}_is_new", rarity_name(r))]
+    return [*event_columns(), *history, *novelty, *NEW_PAIRS.values(), "hour_sin", "hour_cos", "hour_deviation_from_profile"]
+
+
+def rule_columns() -> list[str]:
+    """Further features that the rules read."""
+    return ["src_user_1h_n_distinct_dst", "dst_computer_1h_n_failures", "user_auth_is_new", "prev_dst_is_src", "hours_since_prev_event_same_user"]
+
+
+def store_columns(df: DataFrame) -> list[str]:
+    """What is stored of an event: enough for every model to score it, the rules included."""
+    campaign = [c for c in ("campaign",) if c in df.columns]
+    return list(dict.fromkeys([*IDENTITY, *campaign, *READ_BY_NAME, *model_columns(), *rule_columns()]))
 
 
 def feature_store(df: DataFrame, train: DataFrame, first_day: int, last_day: int, history: str = "window", warmup_days: int = 2) -> DataFrame:
-    """Identity, model features and inputs of the days asked for.
+    """The stored columns of the days asked for.
 
     history="window" reads the days from first_day - warmup_days on; "cumulative" reads from the first day.
     """
     first = first_day - warmup_days if history == "window" else 0
     rows = featurize(df.filter(F.col("day").between(first, last_day)), train)
-    return rows.filter(F.col("day") >= first_day).select("event_id", "time", "day", "is_malicious", *MODEL_FEATURES, *MODEL_INPUTS)
+    return rows.filter(F.col("day") >= first_day).select(*store_columns(rows))
 
 
 # F5 -----------------------------------------------------------------------------------------------------------

@@ -10,9 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Above so many rows of one entity in a window, the event-delta sweep is cheaper than a sliding frame.
-HOT_FRAME = 2_000
-
 
 def before_window(entity: str | list[str], seconds: int):
     """The frame [t - seconds, t) of an entity's events; exact, as time is integral."""

@@ -8,6 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweir.operators.ordered import running_before
+from logweir.schema import SECONDS_PER_DAY
+from logweir.sources.shared import written
+
 BUDGETS = (10, 50, 100, 500)
 
 
@@ -91,25 +95,10 @@ def random_survival(days: DataFrame, budget: int) -> DataFrame:
 def score_levels(scored: DataFrame, score: str = "score") -> DataFrame:
     """(score, pos, neg, pos_above, neg_above): counts at each score and above it.
 
-    One window orders the distinct scores; where these are very many, use ranged_levels.
+    Counts are stored once, so that what made the scores runs once, and ordered in ranges.
     """
     levels = scored.groupBy(F.col(score).alias("score")).agg(F.count_if("is_malicious").alias("pos"), F.count_if(~F.col("is_malicious")).alias("neg"))
-    w = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return levels.withColumns({"pos_above": F.coalesce(F.sum("pos").over(w), F.lit(0)), "neg_above": F.coalesce(F.sum("neg").over(w), F.lit(0))})
-
-
-def ranged_levels(scored: DataFrame, score: str = "score", ranges: int = 256) -> DataFrame:
-    """score_levels for many distinct scores: ordered within ranges that approximate quantiles bound."""
-    levels = scored.groupBy(F.col(score).alias("score")).agg(F.count_if("is_malicious").alias("pos"), F.count_if(~F.col("is_malicious")).alias("neg"))
-    bounds = levels.approxQuantile("score", [i / ranges for i in range(1, ranges)], 0.25 / ranges)
-    bounds = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<double>")
-    levels = levels.withColumn("range", F.size(F.filter(bounds, lambda b: b < F.col("score"))))
-    sums = levels.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    above = Window.orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("range", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n"))
-    inner = Window.partitionBy("range").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    joined = levels.join(F.broadcast(sums), "range")  # at most `ranges` rows
-    return joined.select("score", "pos", "neg", (F.col("p") + F.coalesce(F.sum("pos").over(inner), F.lit(0))).alias("pos_above"), (F.col("n") + F.coalesce(F.sum("neg").over(inner), F.lit(0))).alias("neg_above"))
+    return running_before(written(levels, "levels"), "score", {"pos_above": "pos", "neg_above": "neg"}, descending=True)
 
 
 def ranking_metrics(levels: DataFrame, fpr: float = 0.01) -> DataFrame:
@@ -127,13 +116,15 @@ def ranking_metrics(levels: DataFrame, fpr: float = 0.01) -> DataFrame:
 
 def campaign_weighted_ap(scored: DataFrame, score: str = "score") -> DataFrame:
     """Average precision in which each campaign weighs the same, shared by its events."""
-    size = F.count(F.lit(1)).over(Window.partitionBy("campaign"))
-    pos = scored.filter("is_malicious").withColumn("w", 1.0 / size).groupBy(F.col(score).alias("score")).agg(F.sum("w").alias("w"))
-    levels = score_levels(scored, score).join(pos, "score", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
-    run = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("w").over(Window.partitionBy(F.lit(0)))
-    levels = levels.withColumns({"cw": F.sum("w").over(run), "total": total})
-    return levels.agg(F.round(F.sum(F.col("w") / F.col("total") * F.col("cw") / (F.col("cw") + F.col("neg_above") + F.col("neg"))), 9).alias("weighted_ap"))
+    sizes = scored.filter("is_malicious").groupBy("campaign").agg(F.count(F.lit(1)).alias("size"))
+    at = scored.filter("is_malicious").groupBy("campaign", F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n")).join(sizes, "campaign")
+    weights = at.groupBy("score").agg(F.sum(F.col("n") / F.col("size")).alias("w"))
+    counts = scored.groupBy(F.col(score).alias("score")).agg(F.count_if(~F.col("is_malicious")).alias("neg"))
+    levels = written(counts.join(weights, "score", "left").withColumn("w", F.coalesce("w", F.lit(0.0))), "weighted")
+    total = levels.agg(F.sum("w")).first()[0] or 1.0
+    levels = running_before(levels, "score", {"w_above": "w", "neg_above": "neg"}, descending=True)
+    here = F.col("w_above") + F.col("w")
+    return levels.agg(F.round(F.sum(F.col("w") / total * here / (here + F.col("neg_above") + F.col("neg"))), 9).alias("weighted_ap"))
 
 
 def precision_at(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
@@ -177,7 +168,7 @@ def score_resolution(scored: DataFrame, score: str = "score") -> DataFrame:
 
 
 def benign_bins(scored: DataFrame, score: str = "score") -> DataFrame:
-    """(score_floor, benign): benign rows between consecutive distinct scores of positives, the counts that resampling needs."""
+    """(score_floor, benign, pos): benign rows between consecutive distinct scores of positives, the counts that resampling needs. The window sees the positives' scores only."""
     marks = score_levels(scored, score).filter("pos > 0")
     w = Window.orderBy(F.col("score").desc())
     at_or_above = F.col("neg_above") + F.col("neg")
@@ -192,14 +183,31 @@ def regrouped(ledger: DataFrame, gap_seconds: int, account: list[str]) -> DataFr
     return marked.withColumn("campaign", F.concat_ws("#", *account, F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("string"))).drop("_s")
 
 
+def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
+    """(column, out): the average rank of each distinct value."""
+    levels = written(df.groupBy(column).agg(F.count(F.lit(1)).alias("n")), "ranks")
+    return running_before(levels, column, {"before": "n"}).select(column, (F.col("before") + (F.col("n") + 1) / 2).alias(out))
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation with average ranks for ties."""
+    """Rank correlation with average ranks for ties. Pairs of equal values are counted first."""
+    pairs = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    pairs = written(pairs, "pairs")
+    rows = pairs.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select(a, b)
+    r = rows.join(average_ranks(rows, a, "_ra"), a).join(average_ranks(rows, b, "_rb"), b)
+    return r.agg(F.round(F.corr("_ra", "_rb"), 9).alias("rho"))
+
 
-    def average_rank(c: str) -> "F.Column":
-        return F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
+def permutation_p(df: DataFrame, a: str, b: str, rounds: int = 200, seed: int = 0) -> DataFrame:
+    """(rho, p): two-sided permutation value (tail + 1) / (rounds + 1) of the rank correlation, by ranks gathered from at most 100,000 rows of least hash."""
+    import numpy as np
 
-    r = df.select(average_rank(a).alias("ra"), average_rank(b).alias("rb"))
-    return r.agg(F.round(F.corr("ra", "rb"), 9).alias("rho"))
+    table = df.select(a, b).dropna().orderBy(F.xxhash64(a, b), a, b).limit(100_000).toPandas().rank()
+    x, y = (table[c].to_numpy() - table[c].mean() for c in (a, b))
+    scale = float(np.sqrt((x**2).sum() * (y**2).sum())) or 1.0
+    rho, random = float((x * y).sum()) / scale, np.random.default_rng(seed)
+    tail = sum(abs(float((x * random.permutation(y)).sum()) / scale) >= abs(rho) - 1e-12 for _ in range(rounds))
+    return df.sparkSession.createDataFrame([(round(rho, 9), (tail + 1) / (rounds + 1))], "rho double, p double")
 
 
 def holm(p_values: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -222,17 +230,26 @@ def staffing(budgets: DataFrame) -> DataFrame:
 
 
 def partition_diagnostics(df: DataFrame) -> DataFrame:
-    """(day, events, new_pairs, machine_share): pairs never seen on an earlier day."""
+    """(day, events, new_pairs, machine_share): new pairs are those never seen on an earlier day."""
     first = df.groupBy("src_user", "dst_computer").agg(F.min("day").alias("day")).groupBy("day").agg(F.count(F.lit(1)).alias("new_pairs"))
     daily = df.groupBy("day").agg(F.count(F.lit(1)).alias("events"), F.round(F.avg(F.col("src_user_is_machine").cast("double")), 9).alias("machine_share"))
     return daily.join(first, "day", "left").withColumn("new_pairs", F.coalesce("new_pairs", F.lit(0)))
 
 
+def edge_effects(scored: DataFrame, last_day: int) -> DataFrame:
+    """(first_second_positives, truncated_campaigns): positives in a day's first second, which no window reaches back from, and campaigns that go on to the last second of the days evaluated."""
+    pos = scored.filter("is_malicious")
+    return pos.agg(
+        F.count_if(F.col("time") % SECONDS_PER_DAY == 0).alias("first_second_positives"),
+        F.count_distinct(F.when(F.col("day") >= last_day, F.col("campaign"))).alias("truncated_campaigns"),
+    )
+
+
 def concentration(redteam: DataFrame, top: int = 3) -> DataFrame:
-    """(src_computer, n, share): the sources with most intrusions."""
+    """(src_computer, n, share, accounts): the sources with most intrusions, and how many accounts each used."""
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    counts = redteam.groupBy("src_computer").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.round(F.col("n") / total, 9))
-    return counts.orderBy(F.col("n").desc(), "src_computer").limit(top)
+    counts = redteam.groupBy("src_computer").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user", "domain").alias("accounts"))
+    return counts.withColumn("share", F.round(F.col("n") / total, 9)).orderBy(F.col("n").desc(), "src_computer").limit(top)
 
 
 def top_contributions(df: DataFrame, columns: list[str], top: int = 3) -> DataFrame:

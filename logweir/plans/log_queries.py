@@ -13,6 +13,7 @@ from logweir.operators import causal, clean, label, split
 from logweir.operators import evaluate as ev
 from logweir.operators import resample as rs
 from logweir.sources import adapter
+from logweir.sources.shared import written
 from logweir.streaming import daily
 
 QUERIES: dict = {}
@@ -326,17 +327,15 @@ def _(s, d):
     "f1_event",
     f"""{AUTH}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM auth WHERE day <= 19),
 f1 AS (SELECT auth_type AS v, count(*) / any_value(n.n) AS f FROM auth, n WHERE day <= 19 GROUP BY 1), f2 AS (SELECT logon_type AS v, count(*) / any_value(n.n) AS f FROM auth, n WHERE day <= 19 GROUP BY 1), f3 AS (SELECT auth_orientation AS v, count(*) / any_value(n.n) AS f FROM auth, n WHERE day <= 19 GROUP BY 1)
-SELECT event_id, CAST(success AS INT) AS is_success, CAST(auth_type_is_null AS INT) AS auth_type_missing, CAST(logon_type_is_null AS INT) AS logon_type_missing, CAST(src_user_is_machine AS INT) AS src_is_machine,
- CAST(src_user = dst_user AS INT) AS same_user, CAST(src_computer = dst_computer AS INT) AS same_computer, CAST(src_domain <> dst_domain AS INT) AS crosses_domain,
- round(coalesce(f1.f, 0), 9) AS auth_type_freq, round(coalesce(f2.f, 0), 9) AS logon_type_freq, round(coalesce(f3.f, 0), 9) AS orientation_freq
+SELECT event_id, CAST(success AS INT) AS is_success, CAST(auth_type_is_null AS INT) AS auth_type_is_null, CAST(logon_type_is_null AS INT) AS logon_type_is_null, CAST(src_user_is_machine AS INT) AS src_user_is_machine,
+ CAST(src_user = dst_user AS INT) AS src_dst_user_same, CAST(src_computer = dst_computer AS INT) AS src_dst_computer_same, CAST(src_domain <> dst_domain AS INT) AS domain_crossing,
+ round(coalesce(f1.f, 0), 9) AS auth_type_freq, round(coalesce(f2.f, 0), 9) AS logon_type_freq, round(coalesce(f3.f, 0), 9) AS auth_orientation_freq
 FROM auth a LEFT JOIN f1 ON a.auth_type IS NOT DISTINCT FROM f1.v LEFT JOIN f2 ON a.logon_type IS NOT DISTINCT FROM f2.v LEFT JOIN f3 ON a.auth_orientation IS NOT DISTINCT FROM f3.v""",
 )
 def _(s, d):
-    from logweir.schema import EVENT_FEATURES
-
     a = adapter.auth(s, d)
     x = ft.event_features(a, train_of(a))
-    return x.select("event_id", *[F.round(c, 9).alias(c) if c.endswith("freq") else F.col(c) for c in EVENT_FEATURES])
+    return x.select("event_id", *[F.round(c, 9).alias(c) if c.endswith("freq") else F.col(c).cast("int").alias(c) for c in ft.event_columns()])
 
 
 def _history_sql(entity: str, partner: str) -> str:
@@ -371,19 +370,19 @@ for _name in ft.RELATIONS:
     @query(f"f3_{_name}", f"{AUTH}, {_novelty_cte(_name)} SELECT event_id, CAST(k = 0 AS INT) AS is_new, round(-ln((k + 1) / (nb + 1)), 9) AS rarity FROM {_name}_n")
     def _(s, d, name=_name):
         x = ft.novelty_features(adapter.auth(s, d), {"pair": ft.RELATIONS["pair"], name: ft.RELATIONS[name]})
-        return x.select("event_id", F.col(f"{name}_is_new").alias("is_new"), F.round(f"{name}_rarity", 9).alias("rarity"))
+        return x.select("event_id", F.col(f"{name}_is_new").alias("is_new"), F.round(ft.rarity_name(name), 9).alias("rarity"))
 
 
 @query(
     "f3_new_pairs_24h",
     f"""{AUTH}, {_novelty_cte("pair")}, x AS (SELECT a.*, n.k, n.since FROM auth a JOIN pair_n n USING (event_id))
-SELECT event_id, CAST(since AS DOUBLE) / 86400 AS days_since_pair,
+SELECT event_id, CAST(since AS DOUBLE) / 86400 AS days_since_pair_last_seen,
  CAST(coalesce(sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY src_user ORDER BY time RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS user_new_pairs,
  CAST(coalesce(sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY src_computer ORDER BY time RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS host_new_pairs FROM x""",
 )
 def _(s, d):
     x = ft.novelty_features(adapter.auth(s, d), {"pair": ft.RELATIONS["pair"]})
-    return x.select("event_id", F.when(F.col("days_since_pair") < ft.INFINITY, F.col("days_since_pair")).alias("days_since_pair"), F.col("src_user_1d_new_pairs").alias("user_new_pairs"), F.col("src_computer_1d_new_pairs").alias("host_new_pairs"))
+    return x.select("event_id", F.when(F.col("days_since_pair_last_seen") < ft.INFINITY, F.col("days_since_pair_last_seen")).alias("days_since_pair_last_seen"), F.col("user_new_host_count_24h").alias("user_new_pairs"), F.col("host_new_user_count_24h").alias("host_new_pairs"))
 
 
 @query(
@@ -401,13 +400,13 @@ def _(s, d):
     f"""{AUTH}, h AS (SELECT *, time % 86400 * (2 * pi() / 86400) AS th FROM auth),
 x AS (SELECT *, atan2(sum(sin(th)) OVER p, sum(cos(th)) OVER p) AS prof, time - lag(time) OVER w AS gap, lag(dst_computer) OVER w = src_computer AS ch FROM h
  WINDOW w AS (PARTITION BY src_user ORDER BY time, event_id), p AS (PARTITION BY src_user ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT event_id, round(sin(th), 7) AS hour_sin, round(cos(th), 7) AS hour_cos, CAST(time % 86400 < 21600 AS INT) AS is_night, round(coalesce(abs((th - prof + pi()) % (2 * pi()) - pi()), 0), 7) AS hour_deviation,
- round(gap / CAST(3600 AS DOUBLE), 9) AS hours_since_prev, CAST(coalesce(ch, false) AS INT) AS prev_dst_is_src FROM x""",
+SELECT event_id, round(sin(th), 7) AS hour_sin, round(cos(th), 7) AS hour_cos, CAST(time % 86400 < 21600 AS INT) AS is_night, round(coalesce(abs((th - prof + pi()) % (2 * pi()) - pi()), 0), 7) AS hour_deviation_from_profile,
+ round(gap / CAST(3600 AS DOUBLE), 9) AS hours_since_prev_event_same_user, CAST(coalesce(ch, false) AS INT) AS prev_dst_is_src FROM x""",
 )
 def _(s, d):
     x = ft.temporal_features(adapter.auth(s, d))
-    since = F.when(F.col("hours_since_prev") < ft.INFINITY, F.round("hours_since_prev", 9)).alias("hours_since_prev")
-    return x.select("event_id", *[F.round(c, 7).alias(c) for c in ("hour_sin", "hour_cos", "hour_deviation")], "is_night", since, "prev_dst_is_src")
+    since = F.when(F.col("hours_since_prev_event_same_user") < ft.INFINITY, F.round("hours_since_prev_event_same_user", 9)).alias("hours_since_prev_event_same_user")
+    return x.select("event_id", *[F.round(c, 7).alias(c) for c in ("hour_sin", "hour_cos", "hour_deviation_from_profile")], "is_night", since, "prev_dst_is_src")
 
 
 @query("vocabulary", f"{AUTH} SELECT dst_computer AS value, CAST(row_number() OVER (ORDER BY dst_computer) + 2 AS INT) AS code FROM (SELECT DISTINCT dst_computer FROM auth WHERE day <= 19 AND dst_computer IS NOT NULL)")
@@ -444,16 +443,68 @@ def _(s, d):
     return x.select("event_id", "dst_code", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("dst_seq", "auth_seq", "ok_seq", "gap_seq")])
 
 
-@query("feature_store_window")
-def _(s, d):
+def _features_sql(first: int, last: int, history: int) -> str:
+    """CTEs ending in `x`: all stored columns of the days first to last, from the events of the days history to last; frequencies are those of the training days."""
+    frequency = lambda c: f"fr_{c} AS (SELECT {c} AS v, count(*) / CAST((SELECT count(*) FROM every WHERE day <= 19) AS DOUBLE) AS f FROM every WHERE day <= 19 GROUP BY 1)"
+    rolling = lambda e, sec: f"(PARTITION BY {e} ORDER BY time RANGE BETWEEN {sec} PRECEDING AND 1 PRECEDING)"
+    counts = []
+    for h, n in ((3600, "1h"), (86_400, "1d")):
+        w = rolling("src_user", h)
+        failures = f"CAST(coalesce(sum(CASE WHEN success THEN 0 ELSE 1 END) OVER {w}, 0) AS BIGINT)"
+        counts += [f"count(*) OVER {w} AS src_user_{n}_n_events", f"round({failures} / CAST(greatest(count(*) OVER {w}, 1) AS DOUBLE), 9) AS src_user_{n}_failure_ratio"]
+    novelty = ", ".join(_novelty_cte(r) for r in ft.RELATIONS)
+    joins = " ".join(f"JOIN {r}_n ON {r}_n.event_id = a.event_id" for r in ft.RELATIONS)
+    new = ", ".join(f"CAST({r}_n.k = 0 AS INT) AS {r}_is_new, round(-ln(({r}_n.k + 1) / ({r}_n.nb + 1)), 9) AS {ft.rarity_name(r)}" for r in ft.RELATIONS)
+    pairs = ", ".join(f"CAST(coalesce(sum(pair_is_new) OVER {rolling(e, 86_400)}, 0) AS BIGINT) AS {n}" for e, n in ft.NEW_PAIRS.items())
+    stored = ", ".join(["event_id", "time", "day", "is_malicious", *ft.READ_BY_NAME, *dict.fromkeys([*ft.model_columns(), *ft.rule_columns()])])
+    return f"""{AUTH.replace("auth AS (", "every AS (", 1)}, auth AS (SELECT * FROM every WHERE day BETWEEN {history} AND {last}), {", ".join(frequency(c) for c in ft.CATEGORIES)}, {novelty},
+dc AS (SELECT a.event_id, count(DISTINCT b.dst_computer) AS src_user_1h_n_distinct_dst FROM auth a LEFT JOIN auth b ON a.src_user = b.src_user AND b.time < a.time AND b.time >= a.time - 3600 GROUP BY 1),
+h AS (SELECT *, time % 86400 * (2 * pi() / 86400) AS th FROM auth),
+tm AS (SELECT *, atan2(sum(sin(th)) OVER q, sum(cos(th)) OVER q) AS prof, time - lag(time) OVER o AS gap, lag(dst_computer) OVER o = src_computer AS ch, {", ".join(counts)},
+ CAST(coalesce(sum(CASE WHEN success THEN 0 ELSE 1 END) OVER {rolling("dst_computer", 3600)}, 0) AS BIGINT) AS dst_computer_1h_n_failures FROM h
+ WINDOW o AS (PARTITION BY src_user ORDER BY time, event_id), q AS (PARTITION BY src_user ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+j AS (SELECT a.*, dc.src_user_1h_n_distinct_dst, {new}, CAST(success AS INT) AS is_success, CAST(coalesce(src_user = dst_user, false) AS INT) AS src_dst_user_same, CAST(coalesce(src_computer = dst_computer, false) AS INT) AS src_dst_computer_same, CAST(coalesce(src_domain <> dst_domain, false) AS INT) AS domain_crossing,
+ {", ".join(f"round(coalesce(fr_{c}.f, 0), 9) AS {c}_freq" for c in ft.CATEGORIES)}, round(sin(th), 7) AS hour_sin, round(cos(th), 7) AS hour_cos, round(coalesce(abs((th - prof + pi()) % (2 * pi()) - pi()), 0), 7) AS hour_deviation_from_profile,
+ round(gap / CAST(3600 AS DOUBLE), 9) AS hours_since_prev_event_same_user, CAST(coalesce(ch, false) AS INT) AS prev_dst_is_src
+ FROM tm a JOIN dc ON dc.event_id = a.event_id {joins} {" ".join(f"LEFT JOIN fr_{c} ON a.{c} IS NOT DISTINCT FROM fr_{c}.v" for c in ft.CATEGORIES)}),
+g AS (SELECT *, {pairs} FROM j),
+x AS (SELECT {stored} FROM g WHERE day BETWEEN {first} AND {last})"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """Stored features at the precision at which two engines' trigonometry and logarithms agree; infinite values as null."""
+    kinds = dict(df.dtypes)
+    digits = lambda c: 7 if c.startswith("hour_") else 9
+    finite = lambda c: F.when(F.abs(c) < ft.INFINITY, F.round(c, digits(c))).alias(c)
+    return df.select(*[finite(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
+
+
+def store(s: SparkSession, d: str, first: int, last: int, history: str) -> DataFrame:
     a = adapter.auth(s, d)
-    return ft.feature_store(a, train_of(a), 25, 29)
+    return ft.feature_store(a, train_of(a), first, last, history=history)
 
 
-@query("feature_store_cumulative")
+@query("feature_store_window", f"{_features_sql(25, 29, 23)} SELECT * FROM x")
 def _(s, d):
-    a = adapter.auth(s, d)
-    return ft.feature_store(a, train_of(a), 25, 29, history="cumulative")
+    return _rounded(store(s, d, 25, 29, "window"))
+
+
+@query("feature_store_cumulative", f"{_features_sql(25, 29, 0)} SELECT * FROM x")
+def _(s, d):
+    return _rounded(store(s, d, 25, 29, "cumulative"))
+
+
+@query("featurize_by_day", f"{_features_sql(0, 29, 0)} SELECT * FROM x")
+def _(s, d):
+    a = adapter.auth(s, d).filter("day <= 29")
+    x = daily.fold_days(a, train_of(a))
+    return _rounded(x.select(*ft.store_columns(x)))
+
+
+@query("model_columns", f"{_features_sql(25, 29, 23)} SELECT event_id, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in ft.model_columns())} FROM x")
+def _(s, d):
+    x = _rounded(store(s, d, 25, 29, "window"))
+    return x.select("event_id", *[F.col(c).cast("double").alias(c) for c in ft.model_columns()])
 
 
 # Graph --------------------------------------------------------------------------------------------------------
@@ -476,13 +527,13 @@ def _(s, d):
 
 @query(
     "bipartite_clustering",
-    f"""{_EDGES}, f AS (SELECT * FROM e WHERE day BETWEEN 8 AND 10), g AS (SELECT day, user, count(*) AS k FROM f GROUP BY 1, 2),
+    f"""{_EDGES}, f AS (SELECT * FROM e), g AS (SELECT day, user, count(*) AS k FROM f GROUP BY 1, 2),
 s AS (SELECT a.day, a.user, b.user AS other, count(*) AS c FROM f a JOIN f b ON a.day = b.day AND a.machine = b.machine AND a.user <> b.user GROUP BY 1, 2, 3),
 m AS (SELECT s.day, s.user, avg(c / CAST(g.k + h.k - c AS DOUBLE)) AS v FROM s JOIN g ON s.day = g.day AND s.user = g.user JOIN g h ON s.day = h.day AND s.other = h.user GROUP BY 1, 2)
 SELECT g.day, g.user, round(coalesce(v, 0), 9) AS clustering FROM g LEFT JOIN m ON g.day = m.day AND g.user = m.user""",
 )
 def _(s, d):
-    return ft.bipartite_clustering(ft.trailing_edges(adapter.auth(s, d)).filter(F.col("day").between(8, 10)))
+    return ft.bipartite_clustering(ft.trailing_edges(adapter.auth(s, d)))
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -491,13 +542,13 @@ def _pagerank_sql(rounds: int) -> str:
         steps.append(
             f"p{i + 1} AS (SELECT p.day, p.node, p.size, (1 - 0.85) / p.size + 0.85 * coalesce(q.f, 0) AS r FROM p{i} p LEFT JOIN (SELECT x.day, x.b AS node, sum(p{i}.r * x.w / CAST(o.t AS DOUBLE)) AS f FROM x JOIN o ON x.day = o.day AND x.a = o.a JOIN p{i} ON x.day = p{i}.day AND x.a = p{i}.node GROUP BY 1, 2) q ON p.day = q.day AND p.node = q.node)"
         )
-    return f"""{_EDGES}, x AS (SELECT day, 'u:' || user AS a, 'm:' || machine AS b, weight AS w FROM e WHERE day BETWEEN 8 AND 12 UNION ALL SELECT day, 'm:' || machine, 'u:' || user, weight FROM e WHERE day BETWEEN 8 AND 12),
+    return f"""{_EDGES}, x AS (SELECT day, 'u:' || user AS a, 'm:' || machine AS b, weight AS w FROM e UNION ALL SELECT day, 'm:' || machine, 'u:' || user, weight FROM e),
 o AS (SELECT day, a, sum(w) AS t FROM x GROUP BY 1, 2), {", ".join(steps)} SELECT day, node, round(r, 9) AS pagerank FROM p{rounds}"""
 
 
 @query("pagerank_fixed_iter", _pagerank_sql(3))
 def _(s, d):
-    return ft.pagerank(ft.trailing_edges(adapter.auth(s, d)).filter(F.col("day").between(8, 12)))
+    return ft.pagerank(ft.trailing_edges(adapter.auth(s, d)))
 
 
 @query("communities")
@@ -618,7 +669,7 @@ def _hbos_sql() -> str:
     ctes, terms = [], []
     for c in _X:
         ctes.append(f"b_{c} AS (SELECT event_id, greatest(0, least(9, CAST(floor(({c} - lo) * 10 / (hi - lo)) AS INT))) AS b, t.n FROM m, (SELECT min({c}) AS lo, max({c}) AS hi, count(*) AS n FROM m) t)")
-        ctes.append(f"s_{c} AS (SELECT event_id, -log2(count(*) OVER (PARTITION BY b) / CAST(n AS DOUBLE) + 0.1) AS v FROM b_{c})")
+        ctes.append(f"s_{c} AS (SELECT event_id, -log2(count(*) OVER (PARTITION BY b) / CAST(n AS DOUBLE) + 0.5) AS v FROM b_{c})")
         terms.append(f"s_{c}.v")
     return f"{_MATRIX}, {', '.join(ctes)} SELECT m.event_id, round({' + '.join(terms)}, 6) AS score FROM m " + " ".join(f"JOIN s_{c} ON m.event_id = s_{c}.event_id" for c in _X)
 
@@ -644,7 +695,7 @@ r AS (SELECT src_user, n, row_number() OVER (PARTITION BY src_user ORDER BY n, e
 )
 def _(s, d):
     a = train_of(adapter.auth(s, d)).select("event_id", "time", "src_user", "dst_computer")
-    return sc.fan_out_thresholds(causal.distinct_count(a, "src_user", "dst_computer", 3600, "src_user_1h_n_distinct"))
+    return sc.fan_out_thresholds(causal.distinct_count(a, "src_user", "dst_computer", 3600, "src_user_1h_n_distinct_dst"))
 
 
 @query(
@@ -656,17 +707,58 @@ def _(s, d):
     return sc.mid_ranks(x.filter("day > 2400").select("event_id", "score"), x.filter("day <= 1000"), ["score"]).select("event_id", F.round("score_ecdf", 9).alias("ecdf"))
 
 
-@query("m1u_score")
+def _rules_sql() -> str:
+    """CTEs ending in `e`: raw rules and ECDFs of all stored days, fitted on the training days; the scales on the last of them."""
+    # R4 is compared at the precision of the stored angle
+    raw = {
+        "R1_new_pair": "pair_is_new",
+        "R2_host_burst": "greatest(0, src_user_1h_n_distinct_dst - coalesce(threshold, mean, 0))",
+        "R3_fail_then_success": "dst_computer_1h_n_failures * is_success",
+        "R4_offhours": "hour_deviation_from_profile",
+        "R5_machine_account_anomaly": "CASE WHEN src_user_is_machine THEN pair_global_rarity ELSE 0 END",
+        "R6_new_auth_type": "user_auth_is_new",
+        "R7_lateral_chain": "CASE WHEN prev_dst_is_src = 1 AND hours_since_prev_event_same_user * 3600 <= 1800 THEN 1 ELSE 0 END",
+        "R8_new_source": "user_src_is_new",
+    }
+    columns = ", ".join(f"round(CAST({sql} AS DOUBLE), 9) AS {r}" for r, sql in raw.items())
+    ecdf = ", ".join(f"(coalesce(list_sum(list_transform(l_{r}, lambda v: CASE WHEN v < r.{r} THEN 1.0 WHEN v = r.{r} THEN 0.5 ELSE 0.0 END)), 0) / greatest(n, 1)) AS {r}_ecdf" for r in sc.RULES)
+    return f"""{_features_sql(0, 29, 0)},
+qr AS (SELECT src_user, src_user_1h_n_distinct_dst AS n, row_number() OVER (PARTITION BY src_user ORDER BY src_user_1h_n_distinct_dst, event_id) AS r, count(*) OVER (PARTITION BY src_user) AS m FROM x WHERE day <= 19),
+th AS (SELECT src_user, CAST(n AS DOUBLE) AS threshold FROM qr WHERE r = floor(0.999 * (m - 1) + 0.5) + 1), mn AS (SELECT avg(threshold) AS mean FROM th),
+raw AS (SELECT x.event_id, x.day, x.is_malicious, {columns} FROM x LEFT JOIN th ON x.src_user = th.src_user CROSS JOIN mn),
+fit AS (SELECT count(*) AS n, {", ".join(f"list({r}) AS l_{r}" for r in sc.RULES)} FROM raw WHERE day = (SELECT max(day) FROM raw WHERE day <= 19)),
+e AS (SELECT r.*, {ecdf} FROM raw r CROSS JOIN fit WHERE r.day >= 20)"""
+
+
+def rule_store(s: SparkSession, d: str) -> DataFrame:
+    """The stored features of every day, written once: thresholds, scales and scores all read the store."""
+    return written(_rounded(store(s, d, 0, 29, "cumulative")), "store")
+
+
+@query("m1_raw_rules", f"{_rules_sql()} SELECT event_id, {', '.join(sc.RULES)} FROM raw WHERE day >= 20")
 def _(s, d):
-    a = adapter.auth(s, d)
-    x = ft.featurize(a, train_of(a))
-    return sc.Rules(name="m1u").fit(train_of(x)).score(split.by_days(x, 25, 29)).select("event_id", "score")
+    x = rule_store(s, d)
+    raw = sc.raw_rules(split.by_days(x, 20, 29), sc.fan_out_thresholds(train_of(x)))
+    return raw.select("event_id", *[F.round(r, 9).alias(r) for r in sc.RULES])
+
+
+_UNIFORM = " + ".join(f"{r}_ecdf" for r in sc.RULES)
 
 
-@query("rule_discrimination")
+@query("m1u_score", f"{_rules_sql()} SELECT event_id, round(({_UNIFORM}) / 8, 6) AS score FROM e WHERE day >= 25")
 def _(s, d):
-    a = adapter.auth(s, d)
-    x = ft.featurize(a, train_of(a))
+    x = rule_store(s, d)
+    return sc.Rules(name="m1u").fit(train_of(x)).score(split.by_days(x, 25, 29)).select("event_id", F.round("score", 6).alias("score"))
+
+
+def _discrimination_sql() -> str:
+    each = " UNION ALL ".join(f"SELECT '{r}' AS rule, avg(CASE WHEN NOT is_malicious THEN {r}_ecdf END) AS b, avg(CASE WHEN is_malicious THEN {r}_ecdf END) AS m FROM e" for r in sc.RULES)
+    return f"{_rules_sql()}, a AS ({each}) SELECT rule, round(b, 6) AS benign, round(m, 6) AS malicious, round(CASE WHEN b <> 0 THEN m / b END, 6) AS ratio, 0.125::DOUBLE AS weight FROM a"
+
+
+@query("rule_discrimination", _discrimination_sql())
+def _(s, d):
+    x = rule_store(s, d)
     m = sc.Rules().fit(train_of(x))
     return sc.rule_discrimination(m.ecdfs(split.by_days(x, 20, 29)), m.weights)
 
@@ -681,7 +773,7 @@ led AS (SELECT event_id, campaign, day, time, rank, rank_best, rank_worst, rank_
 
 def scored(s: SparkSession, d: str) -> DataFrame:
     x = ft.novelty_features(labelled(s, d), {"pair": ft.RELATIONS["pair"]})
-    return x.select("event_id", "time", "day", "src_user", "src_computer", "dst_computer", "is_malicious", "campaign", F.round("pair_rarity", 9).alias("score"))
+    return x.select("event_id", "time", "day", "src_user", "src_computer", "dst_computer", "is_malicious", "campaign", F.round("pair_global_rarity", 9).alias("score"))
 
 
 @query(
@@ -856,12 +948,12 @@ def _(s, d):
 
 @query("ranking_metrics_pair_rarity", _metric_sql(_SC, "sd"))
 def _(s, d):
-    return ev.ranking_metrics(ev.ranged_levels(scored(s, d)))
+    return ev.ranking_metrics(ev.score_levels(scored(s, d)))
 
 
 @query("ranking_metrics_labels", _metric_sql(_TOX, "tox"))
 def _(s, d):
-    return ev.ranking_metrics(ev.ranged_levels(toxic_by_length(s, d)))
+    return ev.ranking_metrics(ev.score_levels(toxic_by_length(s, d)))
 
 
 @query("precision_at_k", f"{_TOX} SELECT round(avg(CASE WHEN is_malicious THEN 1.0 ELSE 0.0 END), 9) AS precision FROM (SELECT is_malicious FROM tox ORDER BY score DESC, event_id LIMIT 50)")
@@ -941,7 +1033,7 @@ def _(s, d):
     return ev.partition_diagnostics(adapter.auth(s, d))
 
 
-@query("redteam_concentration", f"{_RED} SELECT src_computer, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 9) AS share FROM red GROUP BY src_computer ORDER BY n DESC, src_computer LIMIT 3")
+@query("redteam_concentration", f"{_RED} SELECT src_computer, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 9) AS share, count(DISTINCT user || '@' || domain) AS accounts FROM red GROUP BY src_computer ORDER BY n DESC, src_computer LIMIT 3")
 def _(s, d):
     return ev.concentration(clean.clean_redteam(adapter.redteam_raw(s, d)))
 
@@ -1023,15 +1115,6 @@ def _(s, d):
     return walks.link_scores(adapter.auth(s, d), dims=8)
 
 
-@query(
-    "featurize_by_day",
-    f"""{AUTH.replace("auth AS (", "every AS (", 1)}, auth AS (SELECT * FROM every WHERE day <= 3), {_novelty_cte("pair")}
-SELECT event_id, day, CAST(k = 0 AS INT) AS pair_is_new, round(-ln((k + 1) / (nb + 1)), 9) AS pair_rarity, since AS seconds_since_pair FROM pair_n JOIN auth USING (event_id)""",
-)
-def _(s, d):
-    return daily.fold_days(adapter.auth(s, d).filter("day <= 3"))
-
-
 def _wide(f, columns):
     return lambda s, d: (x := f(s, d)).withColumns({c: x[c].cast("bigint") for c in columns})
 
@@ -1041,21 +1124,3 @@ for _name, _columns in {
     "unit_user_day": ["rank"], "unit_edge_hour": ["rank"], "user_day_activity": ["rank"], "first_occurrence": ["pair_index"],
 }.items():
     QUERIES[_name] = _wide(QUERIES[_name], _columns)
-
-
-# The same over every day. The queries of a few days above keep their SQL. ------------------------------------------
-
-
-@query("bipartite_clustering_all_days", ORACLES["bipartite_clustering"].replace(" WHERE day BETWEEN 8 AND 10", ""))
-def _(s, d):
-    return ft.bipartite_clustering(ft.trailing_edges(adapter.auth(s, d)))
-
-
-@query("pagerank_fixed_iter_all_days", _pagerank_sql(3).replace(" WHERE day BETWEEN 8 AND 12", ""))
-def _(s, d):
-    return ft.pagerank(ft.trailing_edges(adapter.auth(s, d)))
-
-
-@query("featurize_by_day_all_days", ORACLES["featurize_by_day"].replace(" WHERE day <= 3", ""))
-def _(s, d):
-    return daily.fold_days(adapter.auth(s, d))

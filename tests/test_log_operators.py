@@ -1,6 +1,7 @@
 import gzip
 import itertools
 import random
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from logweir.operators import evaluate as ev
 from logweir.operators import resample as rs
 from logweir.schema import RAW_AUTH
 from logweir.sources import raw as src
+from logweir.sources.shared import written
 from logweir.streaming import daily
 
 
@@ -44,23 +46,44 @@ def test_window_edges(spark):
 def test_future_does_not_matter(spark):
     df = events(spark, 3)
     early = df.filter("time < 150000")
-    cols = ["event_id", "pair_rarity", "user_auth_rarity", "src_user_1d_new_pairs", "hour_deviation", "src_user_1h_n_events", "src_user_1h_n_distinct"]
+    cols = ["event_id", "pair_global_rarity", "user_auth_rarity", "user_new_host_count_24h", "hour_deviation_from_profile", "src_user_1h_n_events", "src_user_1h_n_distinct_dst"]
     whole = ft.temporal_features(ft.novelty_features(ft.history_features(df), base=df)).filter("time < 150000").select(*cols).orderBy("event_id").collect()
     part = ft.temporal_features(ft.novelty_features(ft.history_features(early), base=early)).select(*cols).orderBy("event_id").collect()
     assert whole == part
 
 
 def test_fold_and_stream_equal_the_whole(spark, tmp_path):
-    df = events(spark, 4).filter("dst_computer is not null")
-    whole = causal.first_occurrence(df, ["src_user", "dst_computer"], "p")
-    expected = {r["event_id"]: (r["p_index"] == 0, r["p_since"]) for r in whole.collect()}
-    folded = {r["event_id"]: (r["pair_is_new"] == 1, r["seconds_since_pair"]) for r in daily.fold_days(df).collect()}
-    assert folded == expected
-    df.repartition(1).sortWithinPartitions("time").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    daily.DailyStream(str(tmp_path / "out")).run(stream, str(tmp_path / "cp"))
-    streamed = {r["event_id"]: (r["pair_is_new"] == 1, r["seconds_since_pair"]) for r in spark.read.parquet(str(tmp_path / "out/features")).collect()}
-    assert streamed == expected
+    """Three ways to all features: the whole log at once, some days at a time, and a stream that is stopped and taken up again."""
+    df = written(events(spark, 4).withColumns({"src_domain": F.lit("d"), "dst_domain": F.lit("d"), "dst_user": F.col("src_user")}), "events")
+    names = ["pair_is_new", "pair_global_rarity", "user_src_rarity", "src_dst_rarity", "user_auth_rarity", "user_new_host_count_24h", "host_new_user_count_24h", "src_user_1h_n_distinct_dst", "src_user_1d_n_events", "dst_computer_1d_n_failures",
+             "hour_deviation_from_profile", "hours_since_prev_event_same_user", "days_since_pair_last_seen", "prev_dst_is_src"]
+    values = lambda x: {r["event_id"]: tuple(pytest.approx(v, abs=1e-7) if isinstance(v, float) else v for v in r[1:]) for r in x.select("event_id", *names).collect()}
+    whole = ft.temporal_features(ft.novelty_features(ft.history_features(df), base=df))
+    expected = {r["event_id"]: tuple(r[1:]) for r in whole.select("event_id", *names).collect()}
+    assert values(daily.fold_days(df, step=1)) == expected
+    days = sorted(r[0] for r in df.select("day").distinct().collect())
+    assert len(days) > 2
+    for part, some in (("a", days[:1]), ("b", days[1:])):
+        df.filter(F.col("day").isin(some)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        daily.DailyStream(str(tmp_path / "out")).run(stream, str(tmp_path / "cp"))
+    assert values(spark.read.parquet(str(tmp_path / "out/features"))) == expected
+    again = daily.DailyStream(str(tmp_path / "out"), late="drop")
+    again.batch(df, 99)
+    assert again.late_rows(spark) == df.count() and values(spark.read.parquet(str(tmp_path / "out/features"))) == expected
+    with pytest.raises(ValueError):
+        daily.DailyStream(str(tmp_path / "out")).batch(df, 100)
+
+
+def test_stream_windows(spark, tmp_path):
+    rows = [(datetime(2024, 1, 1, h), "u" if h < 12 else "v", h % 3 > 0) for h in range(24)]
+    spark.createDataFrame(rows, "ts timestamp, src_user string, success boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema("ts timestamp, src_user string, success boolean").parquet(str(tmp_path / "in"))
+    for name, query in (("tumbling", daily.windowed_counts(read(), "6 hours")), ("sliding", daily.windowed_counts(read(), "6 hours", slide="3 hours")), ("sessions", daily.sessions(read(), "2 hours"))):
+        query.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(tuple(r) for r in spark.sql("select events, failures from tumbling").collect()) == [(6, 2)] * 4
+    assert spark.sql("select sum(events) from sliding").first()[0] == 48
+    assert sorted(tuple(r) for r in spark.sql("select src_user, n_events from sessions").collect()) == [("u", 12), ("v", 12)]
 
 
 def test_clean_edges(spark):
