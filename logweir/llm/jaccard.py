@@ -17,6 +17,8 @@ from logweir.llm.simhash import SEED, grouped, simhash_groups
 FIFTHS = 4
 #: One text in so many is looked at for shingles of many texts; those of at least COMMON of them go last in the order.
 SAMPLED, COMMON, MOST_COMMON = 32, 3, 500_000
+#: Counts of a set's sketch; texts whose hashes are broadcast at most.
+BUCKETS, MOST_BROADCAST = 256, 500_000
 #: Pairs looked at, and texts whose sets are held, in one step.
 STEP, TEXTS = 250_000, 128
 
@@ -97,8 +99,29 @@ def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo = hi
 
 
-def similar(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts have a Jaccard similarity of 0.8 or more."""
+def histogram(own: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each of BUCKETS: what two sets share is at most the sum of the lesser counts."""
+    counts = np.bincount((own.view(np.uint64) >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
+    return counts.astype("<u4").tobytes()
+
+
+def may_be_similar(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose histograms allow a similarity of 0.8. No similar pair is lost; few others stay."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), "<u4").reshape(part.num_rows, BUCKETS).astype(np.int64) for k in (2, 3))
+                good = (5 + FIFTHS) * np.minimum(x, y).sum(axis=1) >= FIFTHS * (x.sum(axis=1) + y.sum(axis=1))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(good)), part.column(1).filter(pa.array(good))], names=["a", "b"])
+
+    both = pairs.join(sketches.withColumnsRenamed({"fp": "a", "sketch": "sketch_a"}), "a").join(sketches.withColumnsRenamed({"fp": "b", "sketch": "sketch_b"}), "b")
+    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
+def similar(pairs: DataFrame, rows: DataFrame, table: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose whole texts have a Jaccard similarity of 0.8 or more. rows (fp, hash, sketch) name the texts of table (hash, text)."""
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
@@ -115,6 +138,16 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
                 good[i] = (5 + FIFTHS) * len(np.intersect1d(x, y, assume_unique=True)) >= FIFTHS * (len(x) + len(y))
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
+    pairs = written(pairs, "candidates")
+    named = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    own = rows.join(named, "fp", "left_semi")
+    sketches = written(own.groupBy("fp").agg(F.min("hash").alias("hash"), F.any_value("sketch").alias("sketch")), "sketches")
+    pairs = written(may_be_similar(pairs, sketches.select("fp", "sketch")), "likely")
+    named = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    needed = written(sketches.select("fp", "hash").join(named, "fp", "left_semi"), "needed")
+    # few texts as a rule; where they are many, their hashes are not broadcast
+    side = F.broadcast(needed) if needed.count() <= MOST_BROADCAST else needed.hint("shuffle_hash")
+    texts = written(table.select("hash", "text").join(side, "hash").dropDuplicates(["fp"]).select("fp", "text"), "texts")
     both = pairs.join(texts.withColumnsRenamed({"fp": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"fp": "b", "text": "text_b"}), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
@@ -148,8 +181,9 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, text: str = "text", key: s
 
     def named_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            fp = [name(shingles(b, shingle)) for b in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), batch.column(2)], names=["doc_id", "fp", "hash"])
+            found = [shingles(b, shingle) for b in text_bytes(batch.column(1))]
+            fp = np.array([name(x) for x in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2), pa.array([histogram(x) for x in found], pa.binary())], names=["doc_id", "fp", "hash", "sketch"])
 
     def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
@@ -174,20 +208,18 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, text: str = "text", key: s
             some[bad] = some[bad + 1] = False
             yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in columns], names=["token", "fp", "n", "place"])
 
-    rows = written(table.select("doc_id", "text", hashed.alias("hash")).mapInArrow(named_sets, f"doc_id {dict(table.dtypes)['doc_id']}, fp long, hash long"), "sets")
+    rows = written(table.select("doc_id", "text", hashed.alias("hash")).mapInArrow(named_sets, f"doc_id {dict(table.dtypes)['doc_id']}, fp long, hash long, sketch binary"), "sets")
     ordered = lambda df: df.repartition("token").sortWithinPartitions("token", "n", "fp")
     placed = "token long, fp long, n int, place int"
     spread = table.select("text").mapInArrow(prefixes, placed)
     lists = written(ordered(spread).mapInArrow(shared, placed), "lists")
-    needed = rows.join(lists.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("hash").alias("hash"))
-    texts = table.select("text", hashed.alias("hash")).join(needed, "hash")
-    texts = written(texts.dropDuplicates(["hash"]).select("fp", "text"), "texts")
+    hashed_table = table.select("text", hashed.alias("hash"))
     pair = "a long, b long"
-    links = written(similar(ordered(lists).mapInArrow(_neighbours, pair).distinct(), texts, shingle), "links")
+    links = written(similar(ordered(lists).mapInArrow(_neighbours, pair).distinct(), rows, hashed_table, shingle), "links")
     roots = components(links)
     known = lists.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", "place", F.coalesce("root", "fp").alias("root"))
-    links = links.unionByName(similar(ordered(known).mapInArrow(_pairs, pair).distinct(), texts, shingle))
-    return grouped(rows, links)
+    links = links.unionByName(similar(ordered(known).mapInArrow(_pairs, pair).distinct(), rows, hashed_table, shingle))
+    return grouped(rows.select("doc_id", "hash", "fp"), links)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:

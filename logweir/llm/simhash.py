@@ -95,6 +95,29 @@ def anchors(fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np
     return row, anchor, need[row, i, j] == 0
 
 
+def anchor_number(anchor: np.ndarray) -> np.ndarray:
+    """A number below 2**24 for each anchor: the upper 12 bits of a word of the code tell it from all others."""
+    return (anchor & MASK) >> CHECKS | anchor >> LENGTH >> CHECKS << (LENGTH - CHECKS)
+
+
+def anchor_bits(at_home: DataFrame) -> bytes:
+    """2**24 bits: 1 for each anchor that is some fingerprint's home. Pieces of the bitmap, of 8,192 anchors each, are gathered."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << 21, np.uint8)
+        for batch in batches:
+            at = anchor_number(batch.column(0).to_numpy())
+            np.bitwise_or.at(held, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        for piece in np.flatnonzero(held.reshape(-1, 1024).any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([held[piece * 1024 : piece * 1024 + 1024].tobytes()], pa.binary())], names=["piece", "bits"])
+
+    numbered = at_home.select("anchor").repartition(8, "anchor")  # eight bitmaps of 2 MB at most
+    held = np.zeros(1 << 21, np.uint8)
+    for r in numbered.mapInArrow(run, "piece long, bits binary").toLocalIterator():
+        held[r["piece"] * 1024 : r["piece"] * 1024 + 1024] |= np.frombuffer(r["bits"], np.uint8)
+    return held.tobytes()
+
+
 def links_at_anchors(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between the fingerprints at home and all others at the same anchor, contracted to a forest. Rows stand in order of (anchor, home first)."""
     starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
@@ -122,17 +145,31 @@ def links_at_anchors(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, thres
 def similar_fingerprints(distinct: DataFrame, threshold: int) -> DataFrame:
     """(a, b): links between distinct fingerprints (fp) at `threshold` or fewer bits, enough to connect all that are linked.
 
+    Fingerprints go to anchors that are some fingerprint's home only: no others have anything to compare them
+    with. Which these are is a bitmap of 2 MB, whatever the number of fingerprints.
+
     Rows are dealt by anchor. The fingerprints at home of one anchor are cut into blocks of HOT on average, and all
     its rows into parts of as many; each task gets a block and a part, so it holds HOT fingerprints on average
     whatever the anchor's size. An anchor of one block and one part is one task's.
     """
 
+    def home_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy()
+            for lo in range(0, len(fps), 16_384):
+                anchor, n = np.unique(anchors(fps[lo : lo + 16_384], 0)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], names=["anchor", "homes"])
+
     def replicate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(lived.value, np.uint8)
         for batch in batches:
             fps = batch.column(0).to_numpy()
             for lo in range(0, len(fps), 4096):
                 part = fps[lo : lo + 4096]
                 row, anchor, home = anchors(part, threshold)
+                at = anchor_number(anchor)
+                keep = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                row, anchor, home = row[keep], anchor[keep], home[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[row]), pa.array(home)], names=["anchor", "fp", "home"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,10 +190,15 @@ def similar_fingerprints(distinct: DataFrame, threshold: int) -> DataFrame:
             last = home & (group == group[-1])
             last_key, number, kept = keys[-1], int(group[-1]), fp[last]
 
-    rows = distinct.select("fp").mapInArrow(replicate, "anchor long, fp long, home boolean")
-    sizes = rows.groupBy("anchor").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("n")).filter((F.col("homes") > 0) & (F.col("n") > HOT))
-    cuts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / HOT)).cast("int")
-    hot = cut(sizes.select("anchor", cuts("homes").alias("blocks"), cuts("n").alias("parts")))
+    own = distinct.select("fp").repartition("fp")
+    at_home = cut(own.mapInArrow(home_counts, "anchor long, homes long").groupBy("anchor").agg(F.sum("homes").alias("homes")))
+    lived = own.sparkSession.sparkContext.broadcast(anchor_bits(at_home))
+    rows = own.mapInArrow(replicate, "anchor long, fp long, home boolean")
+    hot = at_home.filter(F.col("homes") > HOT)
+    if not hot.isEmpty():
+        cuts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / HOT)).cast("int")
+        n = rows.join(hot.select("anchor"), "anchor", "left_semi").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+        hot = cut(hot.join(n, "anchor").select("anchor", cuts("homes").alias("blocks"), cuts("n").alias("parts")))
     keys = ["anchor"]
     if not hot.isEmpty():
         one = lambda c: F.coalesce(F.col(c), F.lit(1))
