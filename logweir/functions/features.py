@@ -193,6 +193,12 @@ def model_columns() -> list[str]:
     return [*event_columns(), *history, *novelty, *NEW_PAIRS.values(), "hour_sin", "hour_cos", "hour_deviation_from_profile"]
 
 
+def numeric(df: DataFrame) -> DataFrame:
+    """df with the model columns that are flags as numbers, as vector models read them. Rules read flags as they are."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: F.col(c).cast("int") for c in model_columns() if kinds.get(c) == "boolean"})
+
+
 def rule_columns() -> list[str]:
     """Further features that the rules read."""
     return ["src_user_1h_n_distinct_dst", "dst_computer_1h_n_failures", "user_auth_is_new", "prev_dst_is_src", "hours_since_prev_event_same_user"]
@@ -321,6 +327,23 @@ def communities(edges: DataFrame) -> DataFrame:
     return two.groupBy("day").applyInPandas(of_day, f"day {dict(edges.dtypes)['day']}, node string, community string")
 
 
+def attach_graph_features(df: DataFrame, days: int = 7) -> DataFrame:
+    """df with degree, clustering, PageRank and community of the event's user and destination in the graph of the days before; 0, 0, 0 and -1 for ends not seen in it."""
+    edges = trailing_edges(df, days)
+    ranks, groups = pagerank(edges), communities(edges)
+    numbers = groups.groupBy("day", "community").agg(F.min("node").alias("first")).withColumn("number", F.dense_rank().over(Window.partitionBy("day").orderBy("first")) - 1)
+    nodes = degrees(edges).join(ranks, ["day", "node"], "left").join(groups, ["day", "node"], "left").join(numbers, ["day", "community"], "left")
+    nodes = nodes.join(bipartite_clustering(edges).select("day", F.concat(F.lit("u:"), "user").alias("node"), "clustering"), ["day", "node"], "left")
+    for side, column in (("user", "src_user"), ("host", "dst_computer")):
+        mark = "u:" if side == "user" else "m:"
+        own = nodes.select(F.col("day").alias("_day"), F.col("node").alias("_node"), *[F.col(c).alias(f"_{c}") for c in ("degree", "clustering", "pagerank", "number")])
+        df = df.join(own, (F.col("day") == F.col("_day")) & (F.concat(F.lit(mark), F.col(column)) == F.col("_node")), "left").drop("_day", "_node")
+        fill = {"degree": F.lit(0), "clustering": F.lit(0.0), "pagerank": F.lit(0.0), "number": F.lit(-1)}
+        names = {"number": "community"}
+        df = df.withColumns({f"{side}_graph_{names.get(c, c)}": F.coalesce(f"_{c}", x) for c, x in fill.items()}).drop(*[f"_{c}" for c in fill])
+    return df
+
+
 def snapshot_edges(df: DataFrame, seconds: int = 1800) -> DataFrame:
     """(snapshot, src, dst, n): directed host graph of each interval, which must divide a day."""
     if SECONDS_PER_DAY % seconds:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import Word2Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweir.functions.features import snapshot_edges, snapshot_weights
+from logweir.functions.scorers import IsolationForest
+from logweir.sources.shared import cut
 
 
 def random_walks(edges: DataFrame, length: int, per_node: int, seed: int) -> DataFrame:
@@ -33,8 +36,27 @@ def random_walks(edges: DataFrame, length: int, per_node: int, seed: int) -> Dat
 
 def embed(edges: DataFrame, dims: int = 64, length: int = 10, per_node: int = 5, seed: int = 0) -> DataFrame:
     """(word, vector) of every node."""
-    walks = random_walks(edges, length, per_node, seed)
-    return Word2Vec(vectorSize=dims, minCount=0, seed=seed, inputCol="nodes", outputCol="v", numPartitions=1).fit(walks).getVectors()
+    walks = cut(random_walks(edges, length, per_node, seed))
+    parts = max(1, min(256, walks.count() * length // 10_000_000))  # one partition trains alone up to ten million steps
+    return Word2Vec(vectorSize=dims, minCount=0, seed=seed, inputCol="nodes", outputCol="v", numPartitions=parts).fit(walks).getVectors()
+
+
+def walk_scores(train_edges: DataFrame, df: DataFrame, dims: int = 64, length: int = 10, per_node: int = 5, seed: int = 0) -> DataFrame:
+    """(event_id, score): an isolation forest on the vectors of an event's user and destination, learned from walks on the training graph and fitted on its edges; ends not in it have zeros."""
+    vectors = embed(train_edges, dims, length, per_node, seed)
+    vectors = cut(vectors.select("word", vector_to_array("vector").alias("v")))
+    zeros = F.array_repeat(F.lit(0.0), dims)
+    names = [f"{side}{i}" for side in "um" for i in range(dims)]
+
+    def wide(rows: DataFrame, user: str, machine: str) -> DataFrame:
+        for side, column, mark in (("u", user, "u:"), ("m", machine, "m:")):
+            own = vectors.select(F.col("word").alias("_w"), F.col("v").alias(f"_{side}"))
+            rows = rows.join(own, F.concat(F.lit(mark), F.col(column)) == F.col("_w"), "left").drop("_w")
+        return rows.select("event_id", *[F.round(F.get(F.coalesce(f"_{s}", zeros), F.lit(i)), 9).alias(f"{s}{i}") for s in "um" for i in range(dims)])
+
+    fitted = train_edges.groupBy("user", "machine").agg(F.sum("weight").alias("weight")).withColumn("event_id", F.xxhash64("user", "machine"))
+    forest = IsolationForest(names, seed=seed).fit(cut(wide(fitted, "user", "machine")))
+    return forest.score(cut(wide(df, "src_user", "dst_computer"))).select("event_id", "score")
 
 
 def link_scores(df: DataFrame, dims: int = 8) -> DataFrame:

@@ -115,3 +115,10 @@ def duplicate_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """(rows, duplicate_rows): rows beyond the first of each distinct row. Partial counts meet once per distinct row."""
     each = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
     return each.agg(F.sum("n").alias("n_rows"), F.sum(F.col("n") - 1).alias("duplicate_rows"))
+
+
+def fingerprint(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(rows, least, greatest, digest) of a table, whatever the order of its rows: the digest is the sum of 32 bits of each row's MD5, modulo 1000003 a row."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    part = F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(1_000_003))
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.min(key).alias("least"), F.max(key).alias("greatest"), F.sum(part).alias("digest"))

@@ -42,7 +42,7 @@ def campaign_summary(campaigns: DataFrame) -> DataFrame:
     )
 
 
-def labeling_report(events: DataFrame, n_redteam: int | "F.Column" = 0) -> DataFrame:
+def labeling_report(events: DataFrame) -> DataFrame:
     return events.agg(F.count(F.lit(1)).alias("n_events"), F.count_if("is_malicious").alias("n_matched"), F.round(F.avg(F.col("is_malicious").cast("double")), 9).alias("positive_rate"))
 
 
@@ -54,6 +54,13 @@ def split_summary(events: DataFrame) -> DataFrame:
     return sets.select(level.alias("level"), F.coalesce("src_computer", F.lit("")).alias("src_computer"), F.coalesce("day", F.lit(-1)).alias("day"), "positives")
 
 
+def top_source_share(events: DataFrame) -> DataFrame:
+    """(src_computer, positives, share): the source host with most positives, the first of equals by name."""
+    counts = events.filter("is_malicious").groupBy("src_computer").agg(F.count(F.lit(1)).alias("positives"))
+    total = F.sum("positives").over(Window.partitionBy(F.lit(0)))
+    return counts.withColumn("share", F.round(F.col("positives") / total, 9)).orderBy(F.col("positives").desc(), "src_computer").limit(1)
+
+
 def positive_rate_ok(events: DataFrame, low: float, high: float) -> DataFrame:
     """Whether the share of positives lies within the bounds; the caller stops the run where it does not."""
     rate = F.avg(F.col("is_malicious").cast("double"))

@@ -639,13 +639,17 @@ def _(s, d):
     return x.join(levels.withColumns({"q_le": le, "q_ge": ge}), "q").select("event_id", "q_le", "q_ge")
 
 
+#: Components of a vector of the test tables.
+DIMS = 64
+
+
 def matrix(s: SparkSession, d: str) -> DataFrame:
     e = adapter.table(s, d, "embeddings")
-    return e.select(F.col("vec_id").alias("event_id"), *[F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(8)], (F.col("label") == 3).alias("is_malicious"))
+    return e.select(F.col("vec_id").alias("event_id"), *[F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(DIMS)], (F.col("label") == 3).alias("is_malicious"))
 
 
-_X = [f"x{i}" for i in range(8)]
-_MATRIX = "WITH m AS (SELECT vec_id AS event_id, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(8)) + " FROM embeddings)"
+_X = [f"x{i}" for i in range(DIMS)]
+_MATRIX = "WITH m AS (SELECT vec_id AS event_id, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(DIMS)) + " FROM embeddings)"
 
 
 def _ecod_sql() -> str:
@@ -671,13 +675,13 @@ def _hbos_sql() -> str:
         ctes.append(f"b_{c} AS (SELECT event_id, greatest(0, least(9, CAST(floor(({c} - lo) * 10 / (hi - lo)) AS INT))) AS b, t.n FROM m, (SELECT min({c}) AS lo, max({c}) AS hi, count(*) AS n FROM m) t)")
         ctes.append(f"s_{c} AS (SELECT event_id, -log2(count(*) OVER (PARTITION BY b) / CAST(n AS DOUBLE) + 0.5) AS v FROM b_{c})")
         terms.append(f"s_{c}.v")
-    return f"{_MATRIX}, {', '.join(ctes)} SELECT m.event_id, round({' + '.join(terms)}, 6) AS score FROM m " + " ".join(f"JOIN s_{c} ON m.event_id = s_{c}.event_id" for c in _X)
+    return f"{_MATRIX}, {', '.join(ctes)} SELECT m.event_id, round({' + '.join(terms)}, 5) AS score FROM m " + " ".join(f"JOIN s_{c} ON m.event_id = s_{c}.event_id" for c in _X)
 
 
 @query("m3b_hbos", _hbos_sql())
 def _(s, d):
     m = matrix(s, d)
-    return sc.Hbos(_X).fit(m).score(m).select("event_id", F.round("score", 6).alias("score"))
+    return sc.Hbos(_X).fit(m).score(m).select("event_id", F.round("score", 5).alias("score"))
 
 
 for _name, _model in (("m2b_pca", sc.Pca), ("m3a_iforest", sc.IsolationForest), ("m3c_lof", sc.Lof), ("m4a_autoencoder", sc.Autoencoder)):
@@ -698,13 +702,10 @@ def _(s, d):
     return sc.fan_out_thresholds(causal.distinct_count(a, "src_user", "dst_computer", 3600, "src_user_1h_n_distinct_dst"))
 
 
-@query(
-    "m1_ecdf",
-    f"{_STAR_EARLY}, f AS (SELECT score FROM star WHERE day <= 1000) SELECT event_id, round((SELECT (count(*) FILTER (f.score < s.score) + count(*) FILTER (f.score = s.score) / 2.0) / count(*) FROM f), 9) AS ecdf FROM star s WHERE day > 2400",
-)
+@query("m1_ecdf", f"{_STAR_EARLY} SELECT event_id, round((rank() OVER (ORDER BY score) - 1 + count(*) OVER (PARTITION BY score) / 2.0) / count(*) OVER (), 9) AS ecdf FROM star")
 def _(s, d):
-    x = adapter.star(s, d)
-    return sc.mid_ranks(x.filter("day > 2400").select("event_id", "score"), x.filter("day <= 1000"), ["score"]).select("event_id", F.round("score_ecdf", 9).alias("ecdf"))
+    x = adapter.star(s, d).select("event_id", "score")
+    return sc.mid_ranks(x, x, ["score"]).select("event_id", F.round("score_ecdf", 9).alias("ecdf"))
 
 
 def _rules_sql() -> str:
@@ -1071,11 +1072,7 @@ def _(s, d):
 
 @query("cluster_bootstrap")
 def _(s, d):
-    x = adapter.star(s, d)
-    table = x.groupBy(F.pmod("src_user", F.lit(50)).alias("cluster")).pivot("score", [float(i) for i in range(10, -1, -1)]).agg(F.count_if("is_malicious").alias("p"), F.count_if(~F.col("is_malicious")).alias("n")).fillna(0).toPandas()
-    pos = table[[c for c in table.columns if c.endswith("_p")]].to_numpy()
-    neg = table[[c for c in table.columns if c.endswith("_n")]].to_numpy()
-    samples = rs.cluster_bootstrap(table["cluster"].to_numpy(), pos, neg, 500, 1)
+    samples = rs.cluster_bootstrap(adapter.star(s, d), "src_user", 500, 1)
     return s.createDataFrame([(float(np.mean(samples)), float(np.quantile(samples, 0.025)), float(np.quantile(samples, 0.975)))], "mean double, low double, high double")
 
 
@@ -1104,12 +1101,6 @@ def _(s, d):
     return tuning.fit_variance(lambda seed: sc.IsolationForest(_X, trees=25, seed=seed), (0, 1, 2), m, m)
 
 
-@query("m5a_walk_embedding")
-def _(s, d):
-    e = ft.trailing_edges(adapter.auth(s, d)).filter("day = 10")
-    return walks.embed(e, dims=8, length=8, per_node=2, seed=1)
-
-
 @query("m5c_snapshot_links")
 def _(s, d):
     return walks.link_scores(adapter.auth(s, d), dims=8)

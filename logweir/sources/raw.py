@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import shutil
+import urllib.request
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +29,7 @@ class RowCountError(ValueError):
     """Rows kept and dropped do not add up."""
 
 
-def read_raw(spark: SparkSession, path: str, schema: T.StructType = RAW_AUTH_SCHEMA) -> DataFrame:
+def read_raw(spark: SparkSession, path: str | list[str], schema: T.StructType = RAW_AUTH_SCHEMA) -> DataFrame:
     """Headerless CSV, all text. Missing fields are null, further ones are cut off. A gzip file is one task: repartition after cleaning."""
     return spark.read.schema(schema).option("mode", "PERMISSIVE").option("header", False).csv(path)
 
@@ -36,25 +39,80 @@ def read_redteam(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_any_compression(spark: SparkSession, path: str, schema: T.StructType = RAW_AUTH_SCHEMA) -> DataFrame:
-    """As read_raw, with gzip told by the first two bytes of each file and not by its name. Whole files are read by one task each."""
+    """As read_raw, with gzip told by the first two bytes of each file and not by its name.
 
-    def lines(batches):
-        import gzip
-
-        import pyarrow as pa
-
-        for batch in batches:
-            for data in batch.column(0):
-                data = data.as_py()
-                text = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows = text.decode(errors="replace").splitlines()
-                for lo in range(0, len(rows), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[lo : lo + 50_000], pa.string())], names=["line"])
-
-    names = schema.fieldNames()
-    text = spark.read.format("binaryFile").load(path).select("content").mapInArrow(lines, "line string")
-    parts = F.split("line", ",")
-    return text.filter("line <> ''").select(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)])
+    Files are opened as streams by Hadoop's file system, and only their first bytes are looked at here; files
+    that are packed without saying so in their names are copied once, packed as they are, to the shared folder
+    under a name that says it, a block at a time. What is read is then Spark's own source in any case.
+    """
+    from logweir.sources.shared import shared_dir
+
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(conf)
+    names = [str(s.getPath()) for s in fs.listStatus(place)] if fs.getFileStatus(place).isDirectory() else [path]
+    names = [n for n in names if not n.rsplit("/", 1)[-1].startswith(("_", "."))]
+    found = []
+    for n in names:
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(n))
+        packed = stream.read() == 0x1F and stream.read() == 0x8B
+        stream.close()
+        if packed and not n.endswith(".gz"):
+            target = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/packed-{uuid.uuid4().hex}.gz")
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, jvm.org.apache.hadoop.fs.Path(n), target.getFileSystem(conf), target, False, conf)
+            n = str(target)
+        found.append(n)
+    return read_raw(spark, found, schema)
+
+
+def line_blocks(path: str, block: int = 128 << 20):
+    """Blocks of whole lines of a local file, of about `block` bytes; a longer line is a block of its own."""
+    with open(path, "rb") as f:
+        rest = b""
+        while data := f.read(block):
+            data = rest + data
+            cut = data.rfind(b"\n") + 1
+            if not cut:
+                rest = data
+                continue
+            yield data[:cut]
+            rest = data[cut:]
+        if rest:
+            yield rest
+
+
+def copy_with_resume(source: str, target: str, sha256: str | None = None, block: int = 8 << 20, tries: int = 8) -> None:
+    """Copies a file or URL to a local file, going on at the end of an earlier part, and verifies its checksum. A wrong one removes the copy.
+
+    A lock file keeps two copies of one target apart.
+    """
+    lock = f"{target}.lock"
+    os.close(os.open(lock, os.O_CREAT | os.O_EXCL))
+    try:
+        part = f"{target}.part"
+        for attempt in range(tries):
+            try:
+                have = os.path.getsize(part) if os.path.exists(part) else 0
+                url = source if "://" in source else f"file://{os.path.abspath(source)}"
+                if url.startswith("file://"):
+                    stream = open(url[7:], "rb")  # noqa: SIM115
+                    stream.seek(have)
+                else:
+                    stream = urllib.request.urlopen(urllib.request.Request(url, headers={"Range": f"bytes={have}-"} if have else {}))
+                    if have and stream.status != 206:
+                        have = 0
+                with stream, open(part, "ab" if have else "wb") as out:
+                    shutil.copyfileobj(stream, out, block)
+                break
+            except OSError:
+                if attempt + 1 == tries:
+                    raise
+        if sha256 and sha256_of(part) != sha256:
+            os.remove(part)
+            raise ValueError(f"{target}: another checksum")
+        os.replace(part, target)
+    finally:
+        os.remove(lock)
 
 
 @dataclass

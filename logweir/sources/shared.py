@@ -30,8 +30,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder, and read again."""
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """df written as a Parquet table in the shared folder, and read again. zstd is worth its memory outside the heap for texts and the like only."""
     path = f"{shared_dir(df.sparkSession)}/{re.sub(r'[^A-Za-z0-9]+', '_', name)}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
