@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logweir.llm.common import giving_back
 from logweir.llm.pretoken import Pieces, tiktoken_splitter
 
 #: Pieces kept from block to block in one worker, signs in them, and characters of text in a block: bounds of memory, not of work.
-KEPT, KEPT_SIGNS = 700_000, 8_000_000
-BLOCK = 2_000_000
+KEPT, KEPT_SIGNS = 350_000, 4_000_000
+BLOCK = 1_000_000
 
 
 class Vocabulary:
@@ -195,7 +196,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str | None = None, tex
 
     kind = dict(docs.dtypes)[key]
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(giving_back(run), schema)
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,6 @@ ceil(n / 8) bytes of bitmap (bit i of byte j is chunk 8 j + i), and uint32 x cei
 
 from __future__ import annotations
 
-import ctypes
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweir.llm.bpe import blocks
-from logweir.llm.common import shared_dir
+from logweir.llm.common import give_back, shared_dir
 from logweir.llm.pretoken import SPACE, Pieces, tokenizers_splitter
 
 MAGIC = b"DAC1"
@@ -41,13 +40,6 @@ BLOCK = 500_000
 ROWS = 500
 
 
-def give_back() -> None:
-    """Returns freed memory to the system, where the C library can: workers live on between tasks."""
-    pa.default_memory_pool().release_unused()
-    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-        libc.malloc_trim(0)
-
-
 def pack(ids: np.ndarray, lengths: np.ndarray, start: int = 0) -> bytes:
     """The shard of ids (unsigned, up to 32 bits), documents one after the other."""
     levels, rest = [], ids.astype(np.uint32)

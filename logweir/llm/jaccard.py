@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweir.llm.common import components, text_bytes, written
+from logweir.llm.common import components, giving_back, text_bytes, written
 from logweir.llm.simhash import SEED, grouped, simhash_groups
 
 #: Least similarity, in fifths: 4 is 0.8. Whole numbers, so that no rounding decides.
@@ -117,7 +117,7 @@ def may_be_similar(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(good)), part.column(1).filter(pa.array(good))], names=["a", "b"])
 
     both = pairs.join(sketches.withColumnsRenamed({"fp": "a", "sketch": "sketch_a"}), "a").join(sketches.withColumnsRenamed({"fp": "b", "sketch": "sketch_b"}), "b")
-    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(giving_back(run), "a long, b long")
 
 
 def similar(pairs: DataFrame, rows: DataFrame, table: DataFrame, shingle: int) -> DataFrame:
@@ -147,9 +147,9 @@ def similar(pairs: DataFrame, rows: DataFrame, table: DataFrame, shingle: int) -
     needed = written(sketches.select("fp", "hash").join(named, "fp", "left_semi"), "needed")
     # few texts as a rule; where they are many, their hashes are not broadcast
     side = F.broadcast(needed) if needed.count() <= MOST_BROADCAST else needed.hint("shuffle_hash")
-    texts = written(table.select("hash", "text").join(side, "hash").dropDuplicates(["fp"]).select("fp", "text"), "texts")
+    texts = written(table.select("hash", "text").join(side, "hash").dropDuplicates(["fp"]).select("fp", "text"), "texts", "zstd")
     both = pairs.join(texts.withColumnsRenamed({"fp": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"fp": "b", "text": "text_b"}), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(giving_back(verify), "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -172,7 +172,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, text: str = "text", key: s
         for batch in _slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(shingles(b, shingle) for b in text_bytes(batch.column(0)))]))], names=["token"])
 
-    few = table.filter(F.pmod(hashed, F.lit(SAMPLED)) == 0).select("text").distinct().mapInArrow(each, "token long")
+    few = table.filter(F.pmod(hashed, F.lit(SAMPLED)) == 0).select("text").distinct().mapInArrow(giving_back(each), "token long")
     often = few.groupBy("token").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "token").limit(MOST_COMMON)
     common = np.sort(often.select("token").toPandas()["token"].to_numpy(np.int64))
 
@@ -208,17 +208,17 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, text: str = "text", key: s
             some[bad] = some[bad + 1] = False
             yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in columns], names=["token", "fp", "n", "place"])
 
-    rows = written(table.select("doc_id", "text", hashed.alias("hash")).mapInArrow(named_sets, f"doc_id {dict(table.dtypes)['doc_id']}, fp long, hash long, sketch binary"), "sets")
+    rows = written(table.select("doc_id", "text", hashed.alias("hash")).mapInArrow(giving_back(named_sets), f"doc_id {dict(table.dtypes)['doc_id']}, fp long, hash long, sketch binary"), "sets")
     ordered = lambda df: df.repartition("token").sortWithinPartitions("token", "n", "fp")
     placed = "token long, fp long, n int, place int"
-    spread = table.select("text").mapInArrow(prefixes, placed)
-    lists = written(ordered(spread).mapInArrow(shared, placed), "lists")
+    spread = table.select("text").mapInArrow(giving_back(prefixes), placed)
+    lists = written(ordered(spread).mapInArrow(giving_back(shared), placed), "lists")
     hashed_table = table.select("text", hashed.alias("hash"))
     pair = "a long, b long"
-    links = written(similar(ordered(lists).mapInArrow(_neighbours, pair).distinct(), rows, hashed_table, shingle), "links")
+    links = written(similar(ordered(lists).mapInArrow(giving_back(_neighbours), pair).distinct(), rows, hashed_table, shingle), "links")
     roots = components(links)
     known = lists.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", "place", F.coalesce("root", "fp").alias("root"))
-    links = links.unionByName(similar(ordered(known).mapInArrow(_pairs, pair).distinct(), rows, hashed_table, shingle))
+    links = links.unionByName(similar(ordered(known).mapInArrow(giving_back(_pairs), pair).distinct(), rows, hashed_table, shingle))
     return grouped(rows.select("doc_id", "hash", "fp"), links)
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from logweir.llm.common import giving_back
+
 #: Symbols of the alphabet: 0 for what is no letter, a to z, and 37 classes for all other letters.
 SYMBOLS = 64
 #: Length of the random vectors.
@@ -93,7 +95,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[s
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "code", "n"])
 
     rows = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    table = rows.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    table = rows.mapInArrow(giving_back(count), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(table["lang"].unique())
     parts = [table[table["lang"] == x].sort_values("code") for x in names]
     return names, np.stack([bundle(p["code"].to_numpy(), p["n"].to_numpy()) for p in parts]) if parts else np.zeros((0, LENGTH))
@@ -131,7 +133,7 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str
 
     docs = docs.drop("lang_pred", "score")
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(giving_back(score), schema)
 
 
 def held_out(key: "F.Column", folds: int, fold: int) -> "F.Column":

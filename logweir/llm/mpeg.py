@@ -308,4 +308,4 @@ def probe(docs: DataFrame, key: str = "doc_id", media: str = "media") -> DataFra
 def op9_mpeg(spark, sf_dir: str) -> DataFrame:
     """Streams are written to a table in the shared folder, with their seek offsets computed from what is read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return probe(written(with_media(docs).select("doc_id", "media"), "media"))
+    return probe(written(with_media(docs).select("doc_id", "media"), "media", "zstd"))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweir.llm.common import components, cut, fresh, local_forest, text_bytes
+from logweir.llm.common import components, cut, fresh, giving_back, local_forest, text_bytes
 
 SEED = 42
 #: The binary Golay code: 23 bits, 2**12 words, covering radius 3; its generator polynomial is a fixed value.
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, shingle: int, text: str = "text", key: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "hash", "fp"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)[key]}, hash long, fp long")
+    return rows.mapInArrow(giving_back(run), f"doc_id {dict(docs.dtypes)[key]}, hash long, fp long")
 
 
 def syndrome(words: np.ndarray) -> np.ndarray:
@@ -113,7 +113,7 @@ def anchor_bits(at_home: DataFrame) -> bytes:
 
     numbered = at_home.select("anchor").repartition(8, "anchor")  # eight bitmaps of 2 MB at most
     held = np.zeros(1 << 21, np.uint8)
-    for r in numbered.mapInArrow(run, "piece long, bits binary").toLocalIterator():
+    for r in numbered.mapInArrow(giving_back(run), "piece long, bits binary").toLocalIterator():
         held[r["piece"] * 1024 : r["piece"] * 1024 + 1024] |= np.frombuffer(r["bits"], np.uint8)
     return held.tobytes()
 
@@ -191,9 +191,9 @@ def similar_fingerprints(distinct: DataFrame, threshold: int) -> DataFrame:
             last_key, number, kept = keys[-1], int(group[-1]), fp[last]
 
     own = distinct.select("fp").repartition("fp")
-    at_home = cut(own.mapInArrow(home_counts, "anchor long, homes long").groupBy("anchor").agg(F.sum("homes").alias("homes")))
+    at_home = cut(own.mapInArrow(giving_back(home_counts), "anchor long, homes long").groupBy("anchor").agg(F.sum("homes").alias("homes")))
     lived = own.sparkSession.sparkContext.broadcast(anchor_bits(at_home))
-    rows = own.mapInArrow(replicate, "anchor long, fp long, home boolean")
+    rows = own.mapInArrow(giving_back(replicate), "anchor long, fp long, home boolean")
     hot = at_home.filter(F.col("homes") > HOT)
     if not hot.isEmpty():
         cuts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / HOT)).cast("int")
@@ -210,7 +210,7 @@ def similar_fingerprints(distinct: DataFrame, threshold: int) -> DataFrame:
         rows = stored.unionByName(asking)
         keys = ["anchor", "block", "part"]
     rows = rows.repartition(*keys).sortWithinPartitions(*keys, F.col("home").desc())
-    return rows.select(*keys, "fp", "home").mapInArrow(compare, "a long, b long")
+    return rows.select(*keys, "fp", "home").mapInArrow(giving_back(compare), "a long, b long")
 
 
 def grouped(rows: DataFrame, links: DataFrame) -> DataFrame:

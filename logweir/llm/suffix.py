@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweir.llm.common import text_bytes, written
+from logweir.llm.common import giving_back, text_bytes, written
 
 WINDOW = 200
 GRAM = 32
@@ -342,16 +342,16 @@ def repeated_spans(pieces: DataFrame) -> DataFrame:
     while True:
         counts = written(work.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
         small = work.join(counts.filter(F.col("n") <= HOT).select("key"), "key", "left_semi")
-        found = small.repartition("key").sortWithinPartitions("key").select(*pieces.columns).mapInArrow(sort_pieces, "doc long, start long, stop long")
+        found = small.repartition("key").sortWithinPartitions("key").select(*pieces.columns).mapInArrow(giving_back(sort_pieces), "doc long, start long, stop long")
         spans = found if spans is None else spans.unionByName(found)
         large = counts.filter(F.col("n") > HOT).select("key")
         if large.isEmpty():
             return spans
         large = written(work.join(large, "key", "left_semi").select(*pieces.columns), "large")
-        windows = written(large.filter("lo = hi").mapInArrow(same_strings, "high long, low long, doc long, start long"), "windows")
+        windows = written(large.filter("lo = hi").mapInArrow(giving_back(same_strings), "high long, low long, doc long, start long"), "windows")
         twice = windows.groupBy("high", "low").count().filter("count > 1").select("high", "low")
         spans = spans.unionByName(windows.join(twice, ["high", "low"]).select("doc", "start", (F.col("start") + WINDOW).alias("stop")))
-        work = written(large.filter("lo < hi").mapInArrow(refine, pieces.schema), "refined")
+        work = written(large.filter("lo < hi").mapInArrow(giving_back(refine), pieces.schema), "refined")
 
 
 def cut_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,19 +441,19 @@ def suffix_dedup(docs: DataFrame, text: str = "text", columns: tuple[str, ...] =
     """
     key = F.xxhash64(*[F.col(c) for c in columns], F.col(text))
     rows = docs.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(columns)], key.alias("doc"), F.col(text).alias("text"))
-    listed = rows.select("doc", "text").mapInArrow(list_segments, "doc long, at long, anchor long, content long")
+    listed = rows.select("doc", "text").mapInArrow(giving_back(list_segments), "doc long, at long, anchor long, content long")
     listed = listed.repartitionByRange("anchor", "content", "doc", "at").sortWithinPartitions("anchor", "content", "doc", "at")
-    settled = written(listed.mapInArrow(settle, "doc long, mark long, anchor long"), "segments")
+    settled = written(listed.mapInArrow(giving_back(settle), "doc long, mark long, anchor long"), "segments")
     marks = settled.groupBy("doc").agg(F.collect_list("mark").alias("marks"))
     with_marks = rows.join(marks.hint("shuffle_hash"), "doc", "left")
-    pieces = written(with_marks.mapInArrow(cut_pieces, "anchor long, doc long, at long, place int, piece binary"), "pieces")
+    pieces = written(with_marks.mapInArrow(giving_back(cut_pieces), "anchor long, doc long, at long, place int, piece binary"), "pieces", "zstd")
     whole = pieces.select(F.col("anchor").alias("key"), "doc", "at", "place", "piece", F.lit(0).alias("lo"), F.lit(WINDOW - GRAM).alias("hi"))
     spans = repeated_spans(whole)
     spans = spans.groupBy("doc").agg(F.flatten(F.collect_list(F.array("start", "stop"))).alias("spans"))
     both = with_marks.join(spans.hint("shuffle_hash"), "doc", "left")
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"c_{i} {kinds[c]}" for i, c in enumerate(columns)) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string" * keep_text
-    out = both.mapInArrow(_strip(keep_text), schema)
+    out = both.mapInArrow(giving_back(_strip(keep_text)), schema)
     return out.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(columns)], *out.columns[len(columns) :])
 
 
