@@ -33,20 +33,22 @@ def encode_frequency(df: DataFrame, column: str, fitted: DataFrame, name: str) -
 CATEGORIES = ("auth_type", "logon_type", "auth_orientation")
 
 
-def event_flags() -> dict:
-    """The flags of an event that need nothing but itself."""
-    same = lambda a, b: F.coalesce((F.col(a) == F.col(b)).cast("int"), F.lit(0))
-    return {
-        "is_success": F.col("success").cast("int"),
-        "src_dst_user_same": same("src_user", "dst_user"),
-        "src_dst_computer_same": same("src_computer", "dst_computer"),
-        "domain_crossing": F.coalesce((F.col("src_domain") != F.col("dst_domain")).cast("int"), F.lit(0)),
-    }
+def _same(a: str, b: str) -> "F.Column":
+    return F.coalesce((F.col(a) == F.col(b)).cast("int"), F.lit(0))
+
+
+#: The flags of an event that need nothing but itself. Columns are made when asked for: a session must be there by then.
+EVENT_FLAGS = {
+    "is_success": lambda: F.col("success").cast("int"),
+    "src_dst_user_same": lambda: _same("src_user", "dst_user"),
+    "src_dst_computer_same": lambda: _same("src_computer", "dst_computer"),
+    "domain_crossing": lambda: F.coalesce((F.col("src_domain") != F.col("dst_domain")).cast("int"), F.lit(0)),
+}
 
 
 def event_features(df: DataFrame, train: DataFrame) -> DataFrame:
     """flags of the event itself and the training frequencies of its categories. The null and machine flags that cleaning made belong to F1 too."""
-    df = df.withColumns(event_flags())
+    df = df.withColumns({name: flag() for name, flag in EVENT_FLAGS.items()})
     for column in CATEGORIES:
         df = encode_frequency(df, column, fit_frequencies(train, column), f"{column}_freq")
     return df
@@ -54,7 +56,7 @@ def event_features(df: DataFrame, train: DataFrame) -> DataFrame:
 
 def event_columns() -> list[str]:
     """All F1 columns: flags made by cleaning, flags made here, frequencies."""
-    return ["src_user_is_machine", *(f"{c}_is_null" for c in CATEGORIES[:2]), *event_flags(), *(f"{c}_freq" for c in CATEGORIES)]
+    return ["src_user_is_machine", *(f"{c}_is_null" for c in CATEGORIES[:2]), *EVENT_FLAGS, *(f"{c}_freq" for c in CATEGORIES)]
 
 
 # F2 -----------------------------------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,20 +77,21 @@ def _(s, d):
     return ev.edge_effects(scored(s, d), 29)
 
 
-@pandas_udf("double")
-def _geometric_mean(values: pd.Series) -> float:
-    import numpy as np
+def geometric_mean():
+    """An aggregate that SQL lacks, over Arrow batches. Made when asked for: a session must be there by then."""
 
-    return float(np.exp(np.log(values.astype("float64")).mean()))
+    def mean(values: pd.Series) -> float:
+        return float(np.exp(np.log(values.astype("float64")).mean()))
+
+    return pandas_udf(mean, "double")
 
 
 @query("udaf_geometric_mean", "SELECT o_orderpriority, round(exp(avg(ln(CAST(o_totalprice AS DOUBLE)))), 4) AS mean FROM orders GROUP BY 1")
 def _(s, d):
     x = adapter.table(s, d, "orders").withColumn("p", F.col("o_totalprice").cast("double"))
-    return x.groupBy("o_orderpriority").agg(F.round(_geometric_mean("p"), 4).alias("mean"))
+    return x.groupBy("o_orderpriority").agg(F.round(geometric_mean()("p"), 4).alias("mean"))
 
 
-@udtf(returnType="budget: int, share: double")
 class BudgetShares:
     """(budget, share of the day's events) for each standard budget."""
 
@@ -101,7 +103,7 @@ class BudgetShares:
 @query("udtf_budget_shares", f"{AUTH}, z AS (SELECT day, count(*) AS n FROM auth GROUP BY day) SELECT day, CAST(b AS INT) AS budget, round(least(1.0::DOUBLE, b / CAST(n AS DOUBLE)), 9) AS share FROM z, (VALUES (10), (50), (100), (500)) v(b)")
 def _(s, d):
     days = ev.day_sizes(adapter.auth(s, d)).select("day", "events")
-    return days.lateralJoin(BudgetShares(F.col("events").outer())).select("day", "budget", "share")
+    return days.lateralJoin(udtf(BudgetShares, returnType="budget: int, share: double")(F.col("events").outer())).select("day", "budget", "share")
 
 
 # Sources and sinks ------------------------------------------------------------------------------------------------
