@@ -85,6 +85,29 @@ def vocabulary(rows: DataFrame, words: int = WORDS, least: int = LEAST) -> list[
     return sorted({*best, *(t for line in IDENTITY for t in line)})
 
 
+def loss(w: np.ndarray, bias: float, data: tuple[np.ndarray, ...], ridge: float, parity: float) -> float:
+    """Mean log loss, ridge / 2 times the squared weights, and parity times the mean squared change of the logit under exchanges.
+
+    data: (row and column of each word present, labels, columns of the two terms of each exchange).
+    """
+    at, col, y, first, second = data
+    logit = np.bincount(at, w[col], len(y)) + bias
+    change = ((w[first] - w[second]) ** 2).mean() if len(first) else 0.0
+    return float((np.logaddexp(0, logit) - y * logit).mean() + ridge / 2 * (w**2).sum() + parity * change)
+
+
+def slope(w: np.ndarray, bias: float, data: tuple[np.ndarray, ...], ridge: float, parity: float) -> np.ndarray:
+    """The gradient of loss by the weights and, last, the bias."""
+    at, col, y, first, second = data
+    logit = np.bincount(at, w[col], len(y)) + bias
+    error = (1 / (1 + np.exp(-logit)) - y) / len(y)
+    grad = np.bincount(col, error[at], len(w)) + ridge * w
+    if len(first):
+        change = 2 * parity * (w[first] - w[second]) / len(first)
+        grad += np.bincount(first, change, len(w)) - np.bincount(second, change, len(w))
+    return np.append(grad, error.sum())
+
+
 def train(rows: list[tuple[int, set[str]]], names: list[str], ridge: float = RIDGE, parity: float = PARITY, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic model on the presence of words.
 
@@ -108,13 +131,7 @@ def train(rows: list[tuple[int, set[str]]], names: list[str], ridge: float = RID
     w, bias = np.zeros(len(names)), float(np.log(base / (1 - base)))
     m, s = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, rounds + 1):
-        logit = np.bincount(at, w[col], len(y)) + bias
-        error = (1 / (1 + np.exp(-logit)) - y) / len(y)
-        grad = np.bincount(col, error[at], len(names)) + ridge * w
-        if len(first):
-            change = 2 * parity * (w[first] - w[second]) / len(first)
-            grad += np.bincount(first, change, len(names)) - np.bincount(second, change, len(names))
-        grad = np.append(grad, error.sum())
+        grad = slope(w, bias, (at, col, y, first, second), ridge, parity)
         m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
         w, bias = w - move[:-1], bias - float(move[-1])

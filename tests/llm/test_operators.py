@@ -330,6 +330,17 @@ def test_toxicity_learns_and_ignores_identity(spark):
     assert all(0 <= x["score"] <= 1 for x in toxicity.score(test, names, weights, bias).collect())
 
 
+def test_toxicity_gradient_against_finite_differences():
+    r = np.random.default_rng(30)
+    at, col = r.integers(0, 12, 40), r.integers(0, 6, 40)
+    data = (at, col, r.integers(0, 2, 12).astype(float), r.integers(0, 3, 9), r.integers(3, 6, 9))
+    w, bias = r.normal(size=6), 0.3
+    for ridge, parity in ((0.0, 0.0), (0.1, 0.0), (0.01, 2.0)):
+        found = toxicity.slope(w, bias, data, ridge, parity)
+        step = lambda i, d: toxicity.loss(w + d * (np.arange(6) == i), bias + d * (i == 6), data, ridge, parity)
+        assert np.allclose(found, [(step(i, 1e-6) - step(i, -1e-6)) / 2e-6 for i in range(7)], atol=1e-6)
+
+
 # 7 ------------------------------------------------------------------------------------------------------------
 
 
