@@ -15,7 +15,7 @@ NULL = "\\N"
 
 def write_csv(df: DataFrame, path: str) -> None:
     """With a header; null is written as \\N, so that it and an empty string come back as they were."""
-    df.write.mode("overwrite").option("header", True).option("nullValue", NULL).option("emptyValue", "").option("escape", '"').csv(path)
+    df.write.mode("overwrite").option("header", True).option("nullValue", NULL).option("escape", '"').csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
