@@ -457,7 +457,7 @@ def test_licenses(spark):
     assert got[2][5] == "apache,apache-2.0" and got[2][6] == 1.0
     assert got[3][5] == "mit,mit-notice" and got[3][6] == 0.8
     assert got[4][1] == 0 and got[5] == (0, 0, None, None, "", "", 0.0)
-    assert got[6][5] == "apache,apache-2.0" and got[7][5] == "bsd" and got[8][5] == "mit-text" and got[8][6] == 1.0
+    assert got[6][5] == "apache,apache-2.0" and got[7][5] == "bsd" and got[8][5] == "isc,mit-text" and got[8][6] == 1.0  # the MIT text holds over 0.8 of the ISC template's words
 
 
 def test_licenses_by_brute_force(spark):
