@@ -215,3 +215,28 @@ def test_frequencies_and_sequences(spark):
     voc = {"dst_computer": ft.fit_vocabulary(df.filter("dst_computer <> 'Z'"), "dst_computer"), "auth_type": ft.fit_vocabulary(df, "auth_type")}
     got = ft.sequence_features(df, voc, 3).orderBy("event_id").collect()
     assert got[0]["dst_seq"] == [0, 0, 0] and got[2]["dst_seq"] == [0, 3, 1] and got[2]["auth_seq"] == [0, 3, 2] and got[2]["ok_seq"] == [0, 2, 1]
+
+
+def test_ecod_gathers_counts_not_rows(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    x = np.stack([r.integers(0, 2, 5000), r.integers(0, 9, 5000) / 4, -r.exponential(size=5000).round(1)], axis=1)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "event_id long, a double, b double, c double").repartition(3)
+    most, real = [0], type(df).toPandas
+    monkeypatch.setattr(type(df), "toPandas", lambda self: (lambda p: (most.append(len(p)), p)[1])(real(self)))
+    model = sc.Ecod(["a", "b", "c"]).fit(df)
+    assert max(most) < 200
+    got = {q["event_id"]: q["score"] for q in model.score(df).collect()}
+    skew = np.sign(((x - x.mean(axis=0)) ** 3).mean(axis=0))
+    left = -np.log(((x[None] <= x[:, None]).sum(axis=1) + 1) / 5001)
+    right = -np.log(((x[None] >= x[:, None]).sum(axis=1) + 1) / 5001)
+    want = np.maximum(np.where(skew < 0, left, right), np.maximum(left, right)).sum(axis=1)
+    assert (skew != 0).all() and all(got[i] == pytest.approx(w, abs=1e-9) for i, w in enumerate(want))
+
+
+def test_large_samples_are_the_rows_of_least_hash(spark, monkeypatch):
+    df = spark.range(3000).withColumnRenamed("id", "event_id")
+    want = {r[0] for r in split.sample_for_fit(df, 1234, 5).collect()}
+    monkeypatch.setattr(split, "MOST_ORDERED", 10)
+    large = split.sample_for_fit(df, 1234, 5)
+    assert {r[0] for r in large.collect()} == want and len(want) == large.count() == 1234
+    assert split.sample_for_fit(df, 5000, 5).count() == 3000
