@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from logweir.functions import features as ft
 from logweir.operators import causal
 
 
@@ -25,3 +26,24 @@ def test_entropy_without_pairs(spark, monkeypatch):
         past = [x for x in rows if host is not None and x[2] == host and t - 60 <= x[1] < t]
         h = -sum(n / len(past) * math.log(n / len(past)) for n in Counter(x[3] for x in past).values())
         assert got[i] == (pytest.approx(max(h, 0), abs=2e-9), len({x[4] for x in past}))
+
+
+@pytest.mark.parametrize("cost", [0, 50])
+def test_clustering_by_blocks_and_by_join(spark, monkeypatch, cost):
+    r = np.random.default_rng(2)
+    sets = {(day, f"u{i}"): set(r.choice(9, int(r.integers(1, 6)), replace=False).tolist()) for day in (1, 2) for i in range(40)}
+    sets[1, "lone"], sets[1, None], sets[1, "unknown"] = {77}, {1, 2}, {None}
+    sets[2, "part"] = {None, 3}
+    edges = spark.createDataFrame([(d, u, None if m is None else f"m{m}") for (d, u), ms in sets.items() for m in ms], "day int, user string, machine string")
+    monkeypatch.setattr(ft, "ROW_COST", cost)
+    monkeypatch.setattr(ft, "BLOCK", 16)
+    monkeypatch.setattr(ft, "TILE", 5)
+    real, dense = ft._overlap_blocks, []
+    monkeypatch.setattr(ft, "_overlap_blocks", lambda c, b: (dense.append(b), real(c, b))[1])
+    got = {(x["day"], x["user"]): x["clustering"] for x in ft.bipartite_clustering(edges).collect()}
+    assert got.keys() == sets.keys() and bool(dense) == bool(cost)
+    for (day, user), own in sets.items():
+        known = own - {None}
+        near = [s for (d, u), s in sets.items() if d == day and u not in (None, user) and known & (s - {None})] if user else []
+        j = [len(known & s) / (len(own) + len(s) - len(known & s)) for s in near]
+        assert got[day, user] == pytest.approx(sum(j) / len(j) if j else 0, abs=2e-9), (day, user)
