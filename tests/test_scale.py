@@ -47,3 +47,18 @@ def test_clustering_by_blocks_and_by_join(spark, monkeypatch, cost):
         near = [s for (d, u), s in sets.items() if d == day and u not in (None, user) and known & (s - {None})] if user else []
         j = [len(known & s) / (len(own) + len(s) - len(known & s)) for s in near]
         assert got[day, user] == pytest.approx(sum(j) / len(j) if j else 0, abs=2e-9), (day, user)
+
+
+def test_graph_features_make_each_part_once(spark, monkeypatch):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(links):
+        runs.add(1)
+        return louvain(links)
+
+    louvain = ft.louvain
+    monkeypatch.setattr(ft, "louvain", counted)
+    rows = [(i, d, f"u{i % 5}", f"m{i % 3}") for i, d in enumerate([0, 1, 2] * 20)]
+    found = ft.attach_graph_features(spark.createDataFrame(rows, "event_id long, day int, src_user string, dst_computer string")).collect()
+    assert len(found) == len(rows) and {x["user_graph_degree"] for x in found if x["day"] == 0} == {0}
+    assert runs.value == 2  # days 1 and 2 have a graph before them
