@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import Word2Vec
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweir.functions.features import snapshot_edges, snapshot_weights
@@ -12,26 +12,40 @@ from logweir.functions.scorers import IsolationForest
 from logweir.sources.shared import cut
 
 
-def random_walks(edges: DataFrame, length: int, per_node: int, seed: int) -> DataFrame:
-    """(walk, nodes): weighted first-order walks. Each step is a join with the neighbour lists; draws are hashes, so reruns agree."""
+def dealt_arcs(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, bin, near) and (a, total, arcs): each node's arcs in as many bins of equal weight as it has arcs; an arc is in every bin that its part of the running weight meets.
+
+    A draw is as likely in one bin as in another, and arcs and bins make at most 4 entries an arc, so the list
+    that a step of a walk reads has four entries on average, however many neighbours a node has. An entry holds its
+    end of the running weight and, of the neighbour, all weight and all arcs, for the next step.
+    """
     two = edges.select(F.concat(F.lit("u:"), "user").alias("a"), F.concat(F.lit("m:"), "machine").alias("b"), "weight")
     arcs = two.unionByName(two.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     arcs = arcs.groupBy("a", "b").agg(F.sum("weight").cast("double").alias("weight"))
-    lists = arcs.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("b", "weight"))).alias("near"), F.sum("weight").alias("total"))
-    walks = lists.select("a").withColumn("nth", F.explode(F.sequence(F.lit(1), F.lit(per_node))))
-    walks = walks.select(F.concat_ws("#", "a", "nth").alias("walk"), F.array("a").alias("nodes"))
+    totals = arcs.groupBy("a").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("arcs"))
+    w = Window.partitionBy("a").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    arcs = arcs.withColumn("hi", F.sum("weight").over(w)).join(totals, "a")
+    arcs = arcs.join(totals.select(F.col("a").alias("b"), F.col("total").alias("b_total"), F.col("arcs").alias("b_arcs")), "b", "left")
+    bin_of = lambda x: F.least(F.floor(x / F.col("total") * F.col("arcs")), F.col("arcs") - 1)
+    # a bin more on either side: rounding of the division never parts a draw from its arc
+    bins = F.sequence(F.greatest(bin_of(F.col("hi") - F.col("weight")) - 1, F.lit(0)), F.least(bin_of(F.col("hi")) + 1, F.col("arcs") - 1))
+    entry = F.struct("hi", "b", "b_total", "b_arcs")
+    return arcs.select("a", F.explode(bins).alias("bin"), entry.alias("x")).groupBy("a", "bin").agg(F.array_sort(F.collect_list("x")).alias("near")), totals
+
+
+def random_walks(edges: DataFrame, length: int, per_node: int, seed: int) -> DataFrame:
+    """(walk, nodes): weighted first-order walks. Each step is a join with the few arcs of the draw's bin; draws are hashes, so reruns agree."""
+    lists, totals = (cut(x) for x in dealt_arcs(edges))
+    walks = totals.filter("a is not null").withColumn("nth", F.explode(F.sequence(F.lit(1), F.lit(per_node))))
+    walks = walks.select(F.concat_ws("#", "a", "nth").alias("walk"), F.array("a").alias("nodes"), "a", "total", "arcs")
     for step in range(length - 1):
-        at = walks.withColumn("a", F.element_at("nodes", -1)).join(lists, "a")
         draw = F.pmod(F.xxhash64("walk", F.lit(step), F.lit(seed)), F.lit(1_000_000)) / 1_000_000 * F.col("total")
-        at = at.withColumn("draw", draw)
-        picked = F.aggregate(
-            "near",
-            F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("string").alias("b")),
-            lambda acc, x: F.struct((acc["s"] + x["weight"]).alias("s"), F.when(acc["b"].isNull() & (acc["s"] + x["weight"] > F.col("draw")), x["b"]).otherwise(acc["b"]).alias("b")),
-            lambda acc: acc["b"],
-        )
-        walks = at.select("walk", F.concat("nodes", F.array(F.coalesce(picked, F.element_at("near", -1)["b"]))).alias("nodes"))
-    return walks
+        at = walks.withColumn("draw", draw).withColumn("bin", F.least(F.floor(F.col("draw") / F.col("total") * F.col("arcs")), F.col("arcs") - 1))
+        at = at.join(lists, ["a", "bin"])
+        picked = F.coalesce(F.get(F.filter("near", lambda x: x["hi"] > F.col("draw")), F.lit(0)), F.element_at("near", -1))
+        at = at.select("walk", "nodes", picked.alias("x"))
+        walks = at.select("walk", F.concat("nodes", F.array("x.b")).alias("nodes"), F.col("x.b").alias("a"), F.col("x.b_total").alias("total"), F.col("x.b_arcs").alias("arcs"))
+    return walks.select("walk", "nodes")
 
 
 def embed(edges: DataFrame, dims: int = 64, length: int = 10, per_node: int = 5, seed: int = 0) -> DataFrame:

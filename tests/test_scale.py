@@ -5,8 +5,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from logweir.functions import features as ft
+from logweir.functions import walks
 from logweir.operators import causal
 
 
@@ -62,3 +64,28 @@ def test_graph_features_make_each_part_once(spark, monkeypatch):
     found = ft.attach_graph_features(spark.createDataFrame(rows, "event_id long, day int, src_user string, dst_computer string")).collect()
     assert len(found) == len(rows) and {x["user_graph_degree"] for x in found if x["day"] == 0} == {0}
     assert runs.value == 2  # days 1 and 2 have a graph before them
+
+
+def test_steps_of_walks_read_few_arcs(spark):
+    rows = [(f"u{i}", f"m{m}", 1 + (i * m) % 5 + 1000 * (i == 7)) for i in range(300) for m in range(1 + i % 3)]
+    edges = spark.createDataFrame(rows, "user string, machine string, weight long")
+    lists, _ = walks.dealt_arcs(edges)
+    mean = lists.groupBy("a").agg(F.avg(F.size("near")).alias("mean"))
+    assert mean.filter("mean > 4.01").count() == 0
+    links = {}
+    for u, m, w in rows:
+        links.setdefault(f"u:{u}", {})[f"m:{m}"] = w
+        links.setdefault(f"m:{m}", {})[f"u:{u}"] = w
+    found = walks.random_walks(edges, 4, 2, 3)
+    draws = [F.pmod(F.xxhash64("walk", F.lit(i), F.lit(3)), F.lit(1_000_000)).alias(f"d{i}") for i in range(3)]
+    found = found.select("nodes", *draws).collect()
+    assert len(found) == 2 * len(links)
+    for x in found:
+        for i in range(3):
+            near = links[x["nodes"][i]]
+            draw, run = x[f"d{i}"] / 1_000_000 * sum(near.values()), 0
+            for b in sorted(near):
+                run += near[b]
+                if run > draw:
+                    break
+            assert x["nodes"][i + 1] == b
