@@ -21,6 +21,8 @@ SAMPLED, COMMON, MOST_COMMON = 32, 3, 500_000
 BUCKETS, MOST_BROADCAST = 256, 500_000
 #: Pairs looked at, and texts whose sets are held, in one step.
 STEP, TEXTS = 250_000, 128
+#: Longest list whose pairs become rows. Sets of longer ones are compared in tasks, in blocks of so many sets and so many members of them on average.
+LONG, BLOCK, HELD = 32, 4_096, 1_000_000
 
 
 def shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -33,13 +35,18 @@ def shingles(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(p, SEED) for p in parts], np.uint64).view(np.int64))
 
 
-def prefix(own: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The shingles of which two similar sets share one at least: all but the last 0.8 of them, with common ones last in the order."""
-    most = len(own) - -(-len(own) * FIFTHS // 5) + 1 if len(own) else 0
+def in_order(own: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The set with common shingles last."""
     if len(common) and len(own):
         at = np.minimum(np.searchsorted(common, own), len(common) - 1)
         own = own[np.argsort(common[at] == own, kind="stable")]
-    return own[:most]
+    return own
+
+
+def prefix(own: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The shingles of which two similar sets share one at least: all but the last 0.8 of them, with common ones last in the order."""
+    most = len(own) - -(-len(own) * FIFTHS // 5) + 1 if len(own) else 0
+    return in_order(own, common)[:most]
 
 
 def fits(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -76,8 +83,17 @@ def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a list that can be similar and are not known to be of one group."""
-    for token, fp, n, place, root in _runs(batches):
+    """All pairs (a, b, 0, 0) of a list that can be similar and are not known to be of one group. Of a list above LONG its rows instead: (its least set, set, n, root)."""
+    for columns in _runs(batches):
+        token, fp, n, place, root = columns
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        sizes = np.diff(np.append(starts, len(token)))
+        several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        long = np.repeat(several & (sizes > LONG), sizes)
+        if long.any():
+            least = np.repeat(np.minimum.reduceat(fp, starts), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(x[long]) for x in (least, fp, n, root)], names=["a", "b", "n", "root"])
+        token, fp, n, place, root = (x[np.repeat(several & (sizes <= LONG), sizes)] for x in columns)
         start = np.searchsorted(token, token)
         # rows of a list stand in order of size
         back = np.arange(len(token)) - start
@@ -95,7 +111,8 @@ def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 order = np.lexsort((b, a))
                 a, b = a[order], b[order]
                 first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-                yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first])], names=["a", "b"])
+                none = np.zeros(int(first.sum()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(none.astype(np.int32)), pa.array(none)], names=["a", "b", "n", "root"])
             lo = hi
 
 
@@ -120,6 +137,13 @@ def may_be_similar(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(giving_back(run), "a long, b long")
 
 
+def texts_of(needed: DataFrame, table: DataFrame) -> DataFrame:
+    """(fp, text): a text of table (hash, text) for each row of needed (fp, hash)."""
+    # few texts as a rule; where they are many, their hashes are not broadcast
+    side = F.broadcast(needed) if needed.count() <= MOST_BROADCAST else needed.hint("shuffle_hash")
+    return table.select("hash", "text").join(side, "hash").dropDuplicates(["fp"]).select("fp", "text")
+
+
 def similar(pairs: DataFrame, rows: DataFrame, table: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) whose whole texts have a Jaccard similarity of 0.8 or more. rows (fp, hash, sketch) name the texts of table (hash, text)."""
 
@@ -145,13 +169,110 @@ def similar(pairs: DataFrame, rows: DataFrame, table: DataFrame, shingle: int) -
     pairs = written(may_be_similar(pairs, sketches.select("fp", "sketch")), "likely")
     named = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     needed = written(sketches.select("fp", "hash").join(named, "fp", "left_semi"), "needed")
-    # few texts as a rule; where they are many, their hashes are not broadcast
-    side = F.broadcast(needed) if needed.count() <= MOST_BROADCAST else needed.hint("shuffle_hash")
-    texts = written(table.select("hash", "text").join(side, "hash").dropDuplicates(["fp"]).select("fp", "text"), "texts", "zstd")
+    texts = written(texts_of(needed, table), "texts", "zstd")
     both = pairs.join(texts.withColumnsRenamed({"fp": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"fp": "b", "text": "text_b"}), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(giving_back(verify), "a long, b long")
 
 
+def _members(starts: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first `many` members of sets that begin at starts, one set after the other, and where each set begins among them."""
+    own = np.cumsum(many) - many
+    return np.repeat(starts - own, many) + np.arange(int(many.sum())), own
+
+
+def links_in_block(fp: np.ndarray, root: np.ndarray, block: np.ndarray, earlier: np.ndarray, tokens: np.ndarray, n: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links that connect all similar sets, each of n tokens in the order of prefixes. Sets of one root, of unlike blocks only if there are two, and with an earlier cell in common (bits) are not compared."""
+    ids = np.unique(tokens, return_inverse=True)[1]
+    starts = np.cumsum(n) - n
+    head = n - -(-n * FIFTHS // 5) + 1
+    label = np.unique(root, return_inverse=True)[1]
+    two = len(np.unique(block)) > 1
+    mark = np.zeros(len(tokens), bool)
+    a, b = [], []
+    for x in range(len(fp) - 1):
+        rest = slice(x + 1, None)
+        ask = (label[rest] != label[x]) & (5 * np.minimum(n[rest], n[x]) >= FIFTHS * np.maximum(n[rest], n[x])) & ~(earlier[rest] & earlier[x]).any(axis=1)
+        if two:
+            ask &= block[rest] != block[x]
+        y = x + 1 + np.flatnonzero(ask)
+        if len(y):
+            own = ids[starts[x] : starts[x] + n[x]]
+            mark[own[: head[x]]] = True
+            at, begin = _members(starts[y], head[y])
+            y = y[np.logical_or.reduceat(mark[ids[at]], begin)]
+            mark[own] = True
+            if len(y):
+                at, begin = _members(starts[y], n[y])
+                both = np.add.reduceat(mark[ids[at]], begin, dtype=np.int64)
+                y = y[(5 + FIFTHS) * both >= FIFTHS * (n[x] + n[y])]
+            mark[own] = False
+        if len(y):
+            groups, first = np.unique(label[y], return_index=True)
+            a += [int(fp[x])] * len(first)
+            b += fp[y[first]].tolist()
+            label[np.isin(label, groups)] = label[x]
+    return a, b
+
+
+def _linked(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """links_in_block of the rows of one cell and pair of blocks: cell, i, j, fp, root, block, cells, own."""
+    table = pa.Table.from_batches(held).combine_chunks()
+    cell = table.column(0)[0].as_py()
+    fp, root, block = (table.column(k).to_numpy() for k in (3, 4, 5))
+    before = [[c for c in cells if c < cell] for cells in table.column(6).to_pylist()]
+    bit = {c: i for i, c in enumerate(sorted({c for cells in before for c in cells}))}
+    earlier = np.zeros((len(fp), len(bit) + 63 >> 6), np.uint64)
+    for row, cells in enumerate(before):
+        for c in cells:
+            earlier[row, bit[c] >> 6] |= np.uint64(1 << (bit[c] & 63))
+    sets = table.column(7).to_pylist()
+    n = np.array([len(x) // 8 for x in sets], np.int64)
+    a, b = links_in_block(fp, root, block, earlier, np.frombuffer(b"".join(sets), "<i8"), n)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each cell and pair of blocks, whose rows follow each other."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([c.to_numpy() for c in batch.columns[:3]], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and last != keys[lo].tolist():
+                yield _linked(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = keys[lo].tolist()
+    if held:
+        yield _linked(held)
+
+
+def similar_in_cells(members: DataFrame, rows: DataFrame, table: DataFrame, shingle: int, common: np.ndarray) -> DataFrame:
+    """Links (a, b) that connect all sets of a cell with a similarity of 0.8 or more. members (cell, fp, n, root): a cell has all sets of the long lists with one least set.
+
+    A set is sent to a task once a cell, not once a list or pair, and two sets are compared in the first cell they share.
+    A cell of many sets is cut into blocks, and each task gets two of them.
+    """
+
+    def as_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            found = [in_order(shingles(b, shingle), common).astype("<i8").tobytes() for b in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["fp", "own"])
+
+    cells = members.groupBy("fp").agg(F.collect_set("cell").alias("cells"))
+    needed = written(rows.join(cells.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.min("hash").alias("hash")), "cell_texts")
+    sets = written(texts_of(needed, table).mapInArrow(giving_back(as_sets), "fp long, own binary"), "cell_sets")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / HELD)).cast("int")
+    placed = members.join(members.groupBy("cell").agg(blocks.alias("blocks")), "cell")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    placed = placed.select("cell", "fp", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = placed.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "root", "block")
+    dealt = placed.join(cells, "fp").join(sets, "fp").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "fp")
+    return dealt.select("cell", "i", "j", "fp", "root", "block", "cells", "own").mapInArrow(giving_back(_blocks), "a long, b long")
+
+
 def jaccard_groups(docs: DataFrame, shingle: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, hash, fp, root, component_id): documents linked by a Jaccard similarity of 0.8 or more of their sets of shingles.
 
@@ -159,7 +280,8 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, text: str = "text", key: s
     filter), and pairs that share one are verified on their whole texts, with 64-bit hashes of shingles, if
     sizes and places allow it. Shingles common in a sample go last in the order, which changes the work and not the result.
     Lists of a shingle are first linked from row to row; the pairs left to verify are those between
-    different groups, so a large group of near copies is not compared pair by pair.
+    different groups. Pairs of short lists are rows; sets of lists above LONG are compared within tasks, so that
+    a large group of near copies, similar or just not, makes no row a pair.
 
     Equal sets are one node, known by a 64-bit hash. component_id is the smallest doc_id that links reach.
     Null and empty texts have the empty set and link with each other. A null key never names a component
@@ -218,7 +340,11 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, text: str = "text", key: s
     links = written(similar(ordered(lists).mapInArrow(giving_back(_neighbours), pair).distinct(), rows, hashed_table, shingle), "links")
     roots = components(links)
     known = lists.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", "place", F.coalesce("root", "fp").alias("root"))
-    links = links.unionByName(similar(ordered(known).mapInArrow(giving_back(_pairs), pair).distinct(), rows, hashed_table, shingle))
+    left = written(ordered(known).mapInArrow(giving_back(_pairs), f"{pair}, n int, root long").distinct(), "left")
+    links = links.unionByName(similar(left.filter("n = 0").select("a", "b"), rows, hashed_table, shingle))
+    members = left.filter("n > 0").select(F.col("a").alias("cell"), F.col("b").alias("fp"), "n", "root")
+    if not members.isEmpty():
+        links = links.unionByName(similar_in_cells(members, rows, hashed_table, shingle, common))
     return grouped(rows.select("doc_id", "hash", "fp"), links)
 
 

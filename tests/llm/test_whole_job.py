@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from logweir.llm import common, neighbors, simhash, toxicity
+from logweir.llm import common, jaccard, neighbors, simhash, toxicity
 
 
 @pytest.mark.parametrize("spread", [0.018, 0.024])
@@ -56,6 +56,37 @@ def test_near_copies_of_the_pipeline_by_jaccard(spark):
     assert {x["doc_id"] for x in kept.collect()} == {i for i in range(len(texts)) if roots.get(i, i) == i}
 
 
+@pytest.mark.parametrize("block", [4096, 60])
+def test_a_large_group_of_near_copies_makes_no_row_a_pair(spark, monkeypatch, block):
+    """Copies of one text with 1 to 9 words replaced: some are linked, and most come close to a similarity of 0.8 with hundreds and miss it."""
+    monkeypatch.setattr(jaccard, "BLOCK", block, raising=False)
+    made = {}
+
+    def counted(df, name, codec="snappy"):
+        table = common.written(df, name, codec)
+        made[name] = max(made.get(name, 0), table.count())
+        return table
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    r = random.Random(23)
+    first = [f"w{r.randrange(10**6)}" for _ in range(160)]
+    texts = []
+    for i in range(500):
+        words = list(first)
+        for at in r.sample(range(160), 1 + i % 9):
+            words[at] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"y{r.randrange(10**6)}" for _ in range(100)) for _ in range(100)] + [texts[3], "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(jaccard.shingles((t or "").encode(), 5).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    roots = dict(zip(*(x.tolist() for x in common.local_forest(*np.array(pairs).T))))
+    found = jaccard.jaccard_groups(docs).collect()
+    assert {x["doc_id"]: x["component_id"] for x in found} == {i: roots.get(i, i) for i in range(len(texts))}
+    assert len({roots.get(i, i) for i in range(500)}) > 100
+    assert made["candidates"] < 10 * len(texts), made
+
+
 def test_scores_are_equal_under_swaps_of_identity_terms(spark):
     r = random.Random(22)
     rows, labels = [], []
