@@ -263,7 +263,7 @@ def similar_in_cells(members: DataFrame, rows: DataFrame, table: DataFrame, shin
 
     cells = members.groupBy("fp").agg(F.collect_set("cell").alias("cells"))
     needed = written(rows.join(cells.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.min("hash").alias("hash")), "cell_texts")
-    sets = written(texts_of(needed, table).mapInArrow(giving_back(as_sets), "fp long, own binary"), "cell_sets")
+    sets = texts_of(needed, table).mapInArrow(giving_back(as_sets), "fp long, own binary")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / HELD)).cast("int")
     placed = members.join(members.groupBy("cell").agg(blocks.alias("blocks")), "cell")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
