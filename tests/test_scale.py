@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweir.functions import features as ft
+from logweir.functions import scorers as sc
 from logweir.functions import walks
 from logweir.operators import causal
 
@@ -90,6 +91,55 @@ def test_attached_pagerank_is_settled(spark):
             assert x[f"{side}_graph_pagerank"] == pytest.approx(want, abs=2e-9)
 
 
+def test_ecod_counts_all_rows_of_columns_with_many_values(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    x = np.stack([r.normal(size=700), -r.exponential(size=700), r.integers(0, 3, 700)], axis=1).round(2)
+    x[::50, 0] = np.nan
+    rows = [(i, None if i == 50 else float(a), float(b), float(c)) for i, (a, b, c) in enumerate(x)]
+    df = spark.createDataFrame(rows, "event_id long, a double, b double, c double").repartition(3)
+    whole = {q["event_id"]: q["score"] for q in sc.Ecod(["a", "b", "c"]).fit(df).score(df).collect()}
+    monkeypatch.setattr(sc, "GATHERED", 20)
+    model = sc.Ecod(["a", "b", "c"]).fit(df)
+    assert model.wide == [0, 1] and [len(v) for v, _ in model.levels] == [0, 0, 3]
+    found = model.score(df.filter("event_id % 3 <> 1"))
+    assert found.columns == ["event_id", "a", "b", "c", "score"]
+    got = {q["event_id"]: q["score"] for q in found.collect()}
+    assert got.keys() == {i for i in range(700) if i % 3 != 1} and all(whole[i] == v for i, v in got.items())
+
+
+def test_models_of_the_store_are_fitted_on_all_rows(spark, monkeypatch):
+    def refuse(*a, **k):
+        raise AssertionError("fitted on a sample")
+
+    monkeypatch.setattr(sc, "sample_for_fit", refuse)
+    monkeypatch.setattr(sc, "PART_ROWS", 100, raising=False)
+    r = np.random.default_rng(9)
+    data = r.normal(size=(1000, 2)).round(3)
+    data[:, 1] = np.arange(1000)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(data)], "event_id long, a double, b double").repartition(3)
+    sc.Ecod(["a", "b"]).fit(df)
+    forest = sc.IsolationForest(["a", "b"], trees=40, rows=64)
+    drawn = forest.drawn(df, 1000)
+    assert len(drawn) == 40 and all(len(set(x[:, 1])) == 64 for x in drawn)
+    share = len({v for x in drawn for v in x[:, 1]}) / 1000
+    assert abs(share - (1 - (1 - 0.064) ** 40)) < 0.04  # as many as trees that draw from all rows independently meet
+    assert all((x == y).all() for x, y in zip(drawn, forest.drawn(df.repartition(5), 1000)))
+    assert sorted(forest.drawn(df.limit(9), 9)[3][:, 0]) == sorted(x["a"] for x in df.limit(9).collect())
+    rows = sc.Shuffled(df, ["a", "b"], 0)
+    mean, scale = rows.moments()
+    assert np.allclose(mean, data.mean(axis=0)) and np.allclose(scale, data.std(axis=0))
+    turns = []
+    for turn in (0, 1):
+        batches = list(rows.batches(turn, 64))
+        assert [len(b) for b in batches] == [64] * 15 + [40]
+        turns.append(np.concatenate(batches)[:, 1].tolist())
+        assert sorted(turns[-1]) == list(range(1000)) and turns[-1] != sorted(turns[-1])
+    assert turns[0] != turns[1]
+    assert np.concatenate(list(sc.Shuffled(df.repartition(7), ["a", "b"], 0).batches(0, 64)))[:, 1].tolist() == turns[0]
+    model = sc.Autoencoder(["a", "b"], (4, 1, 4), epochs=2).fit(df)
+    assert np.allclose(model.mean, data.mean(axis=0))
+
+
 def test_steps_of_walks_read_few_arcs(spark):
     rows = [(f"u{i}", f"m{m}", 1 + (i * m) % 5 + 1000 * (i == 7)) for i in range(300) for m in range(1 + i % 3)]
     edges = spark.createDataFrame(rows, "user string, machine string, weight long")
